@@ -16,11 +16,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from greenwake.llm.textbytes import utf8
 from greenwake.session import ship
 
 UNDETERMINED = "und"
+_MADE = ("lang_pred", "score", "bits_per_byte")
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -144,8 +146,8 @@ CHUNK = 1 << 20
 _built: dict[str, Trees] = {}
 
 
-def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs' id, lang_pred, score and bits_per_byte of every whole text.
+def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
+    """docs with lang_pred, score and bits_per_byte of every whole text; columns of those names are replaced.
 
     score is the winner's weight against the others, 2 to the minus code length each, lengths being scaled to at
     most 64 bytes of text. `und` with score 0: a null text, one without a letter, or a model without languages.
@@ -160,7 +162,7 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
             _built[key] = Trees(shared.value)
         trees = _built.get(key)
         for batch in batches:
-            texts = batch.column(1)
+            texts = batch.column(at_text)
             raw, at = utf8(texts)
             n = np.diff(at)
             letter = np.array([bool(_LETTER.search(t)) if t else False for t in texts.to_pylist()], dtype=bool)
@@ -173,8 +175,10 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
                 gap = (bits - bits.min(axis=1, keepdims=True)) * np.minimum(1, 64 / np.maximum(n, 1))[:, None]
                 score = np.where(letter, 1 / np.exp2(-np.minimum(gap, 1000)).sum(axis=1), 0.0)
                 lang = [trees.langs[k] if ok else UNDETERMINED for k, ok in zip(best.tolist(), letter.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], names=[id_col, "lang_pred", "score", "bits_per_byte"])
+            made = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *_MADE])
 
-    slim = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("__text"))
-    kind = slim.schema[0].dataType.simpleString()
-    return slim.mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, bits_per_byte double")
+    slim = docs.drop(*_MADE)
+    at_text = slim.columns.index(text_col)
+    schema = T.StructType([*slim.schema.fields, *(T.StructField(n, t) for n, t in zip(_MADE, (T.StringType(), T.DoubleType(), T.DoubleType()), strict=True))])
+    return slim.mapInArrow(run, schema)
