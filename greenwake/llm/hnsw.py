@@ -4,7 +4,7 @@ Vectors are dealt to shards by a hash of their id. A shard's layers are drawn by
 chance M**-l); a layer's nodes link to near ones by exact candidates from blocked products, spread by the usual
 diversity rule, and to near ones of the layer above, which stand for the long links of early insertions. Every vector
 then queries every shard: greedy descent, then a beam over layer 0 whose width doubles until an audit against brute
-force finds the nearest neighbour of RECALL of a sample. What the beam hits is widened to the hit's near-duplicate
+force finds the nearest row of RECALL of those in a sample that have one to link with. What the beam hits is widened to the hit's near-duplicate
 cluster in its shard, so a large group of copies is found whole, and all pairs are verified by cosine in double
 precision. A task returns counts and a spanning forest of its links, never the pairs.
 """
@@ -22,8 +22,8 @@ from greenwake.llm.components import components
 from greenwake.session import cut, ship
 
 M = 12
-RECALL = 0.97
-AUDIT = 96
+RECALL = 0.98
+AUDIT = 512
 BLOCK = 512
 
 
@@ -196,10 +196,14 @@ def search(graph: dict, x: np.ndarray, q: np.ndarray, width: int) -> tuple[np.nd
     return start, sim
 
 
-def audited_width(graph: dict, x: np.ndarray, q: np.ndarray, ids: np.ndarray, recall: float = RECALL) -> int:
-    """The beam width at which a sample of the queries finds its nearest row as often as recall asks."""
+def audited_width(graph: dict, x: np.ndarray, q: np.ndarray, ids: np.ndarray, cosine: float, recall: float = RECALL) -> int:
+    """The beam width at which a sample of the queries finds its nearest row as often as recall asks; of the sample
+    those count that have a row to link with (the shard's own rows at least), all of it if those are few."""
     some = q[np.argsort(_mixed(ids), kind="stable")[:AUDIT]]
     best = (some @ x.T).max(axis=1)
+    linked = best >= cosine
+    if linked.sum() >= AUDIT // 16:
+        some, best = some[linked], best[linked]
     width = 16
     while width < len(x):
         found = search(graph, x, some, width)[1].max(axis=1)
@@ -214,7 +218,7 @@ def links(graph: dict, ids: np.ndarray, vectors: np.ndarray, cosine: float) -> t
     x, q = _unit(graph["vectors"]), _unit(vectors)
     norm_x = np.linalg.norm(graph["vectors"].astype(np.float64), axis=1)
     norm_q = np.linalg.norm(vectors.astype(np.float64), axis=1)
-    width = audited_width(graph, x, q, ids)
+    width = audited_width(graph, x, q, ids, cosine)
     by_cluster = np.argsort(graph["cluster"], kind="stable")
     sorted_cluster = graph["cluster"][by_cluster]
     count = np.zeros(len(q), np.int64)
