@@ -16,10 +16,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter and those that no language's tree codes better than plain bytes; a null lang
     becomes the predicted one. With no labelled rows to learn from, only texts without a letter go."""
     model = langid.train(docs)
-    seen = langid.predict(docs, model)
+    seen = langid.predict(docs, model, prefix="__")
     if model["langs"]:
-        seen = seen.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("bits_per_byte") < 8))
-        seen = seen.withColumn("lang", F.coalesce("lang", "lang_pred"))
+        seen = seen.filter((F.col("__lang_pred") != langid.UNDETERMINED) & (F.col("__bits_per_byte") < 8))
+        seen = seen.withColumn("lang", F.coalesce("lang", "__lang_pred"))
     else:
         seen = seen.filter(F.col("text").rlike(r"\p{L}"))
     return seen.select(*docs.columns)

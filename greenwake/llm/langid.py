@@ -146,8 +146,8 @@ CHUNK = 1 << 20
 _built: dict[str, Trees] = {}
 
 
-def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, score and bits_per_byte of every whole text; columns of those names are replaced.
+def predict(docs: DataFrame, model: dict, text_col: str = "text", prefix: str = "") -> DataFrame:
+    """docs with lang_pred, score and bits_per_byte (after prefix) of every whole text; columns so named are replaced.
 
     score is the winner's weight against the others, 2 to the minus code length each, lengths being scaled to at
     most 64 bytes of text. `und` with score 0: a null text, one without a letter, or a model without languages.
@@ -176,9 +176,10 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
                 score = np.where(letter, 1 / np.exp2(-np.minimum(gap, 1000)).sum(axis=1), 0.0)
                 lang = [trees.langs[k] if ok else UNDETERMINED for k, ok in zip(best.tolist(), letter.tolist(), strict=True)]
             made = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *_MADE])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *made_names])
 
-    slim = docs.drop(*_MADE)
+    made_names = [prefix + n for n in _MADE]
+    slim = docs.drop(*made_names)
     at_text = slim.columns.index(text_col)
-    schema = T.StructType([*slim.schema.fields, *(T.StructField(n, t) for n, t in zip(_MADE, (T.StringType(), T.DoubleType(), T.DoubleType()), strict=True))])
+    schema = T.StructType([*slim.schema.fields, *(T.StructField(n, t) for n, t in zip(made_names, (T.StringType(), T.DoubleType(), T.DoubleType()), strict=True))])
     return slim.mapInArrow(run, schema)

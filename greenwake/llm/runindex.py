@@ -36,11 +36,12 @@ class RunLengthIndex:
         left = stop - np.arange(n)
         padded = np.concatenate([flat, np.zeros(8, np.uint8)])
         key = np.zeros(n, dtype=np.uint64)
-        for j in range(8):
+        known = min(8, span)
+        for j in range(known):
             key |= np.where(left >= j, padded[j : n + j], 0).astype(np.uint64) << np.uint64(8 * (7 - j))
-        rank, known = _ranked(key), 8
+        rank = _ranked(key)
         longest = int(size.max(initial=0)) + 1
-        spans = None
+        spans = rank if known == span else None
         while known < longest:
             step = min(known, longest - known)
             if known < span <= known + step:  # stop at span once, for the intervals that agree on it

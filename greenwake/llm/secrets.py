@@ -86,10 +86,10 @@ def digests(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """docs with every span (base and live; what overlaps or touches is one) replaced by mark, n_chars made to fit."""
     found = scan(docs).withColumn("all", F.array_sort(F.concat("base", "live"))).filter(F.size("all") > 0)
-    spans = found.groupBy("id", "text_hash").agg(F.first("all").alias("__spans"))
+    spans = found.groupBy(F.col("id").alias("__id"), F.col("text_hash").alias("__text_hash")).agg(F.first("all").alias("__spans"))
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.withColumn("__hash", F.xxhash64(text))
-    on = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("__hash") == F.col("text_hash"))
+    on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__text_hash"))
     joined = keyed.join(spans, on, "left")
 
     def step(state: Column, s: Column) -> Column:
