@@ -85,11 +85,23 @@ def is_secret(path: Column) -> Column:
     return name.startswith(".env") | name.isin(*SECRET_NAMES) | name.rlike("(" + "|".join(re.escape(e) for e in SECRET_ENDINGS) + ")$")
 
 
+def secret_name(name: str) -> bool:
+    name = name.lower()
+    return name.startswith(".env") or name in SECRET_NAMES or name.endswith(SECRET_ENDINGS)
+
+
+def _names(spark: SparkSession, root: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True)
+    while found.hasNext():
+        yield found.next().getPath().getName()
+
+
 def inventory(spark: SparkSession, root: str) -> DataFrame:
     """(path, section, bytes, sha256) of a tree's files; larger ones aren't hashed. RuntimeError if one looks secret."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    if bad := [r[0] for r in files.select("path").filter(is_secret(F.col("path"))).limit(5).collect()]:
+    if bad := [n for n in _names(spark, root) if secret_name(n)][:5]:  # the file source doesn't show hidden files
         raise RuntimeError(f"files that look like secrets: {bad}")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     relative = F.regexp_replace("path", r"^.*?" + re.escape(root.rstrip("/").rsplit("/", 1)[-1]) + "/", "")
     return files.select(relative.alias("path"), F.when(relative.contains("/"), F.split(relative, "/")[0]).otherwise("root").alias("section"), F.col("length").alias("bytes"), F.when(F.col("length") <= HASH_LIMIT, F.sha2("content", 256)).alias("sha256"))
 
