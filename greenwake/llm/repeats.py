@@ -2,11 +2,11 @@
 
 Every `span`-byte string of a document is assigned to its minimiser, the ANCHOR-byte string in it of least hash; a run
 of strings with one minimiser and the bytes they cover are a context. Equal strings have equal minimisers, so a match
-can only lie between contexts of one anchor. Anchors that one document alone holds are dropped first, hashes only
-being moved. The contexts of the others meet in shards by anchor. Equal contexts become one, whose later documents
-repeat it whole; over the distinct ones of anchors that have several, each shard builds a run-length index and streams
-every context's matching statistics through it. Wherever a batch of documents already shows an anchor or a context to
-be shared, only one of its places goes on to the shard, so no shard gathers a passage from all documents.
+can only lie between contexts of one anchor. Hashes alone are moved first: anchors that one document alone holds are
+dropped, and of equal contexts one stays, that of the smallest id, as the others repeat it whole. The distinct contexts
+of anchors that have several meet in shards by anchor; each shard builds a run-length index over them and streams every
+context's matching statistics through it. Copies of a context within a batch of documents become one before they are
+shuffled, so no shard gathers a passage from all documents.
 """
 
 from __future__ import annotations
@@ -23,15 +23,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from greenwake.llm.runindex import RunLengthIndex
-from greenwake.llm.textbytes import utf8
+from greenwake.llm.textbytes import mix, utf8
 from greenwake.session import cut, partitions, ship
 
 SPAN = 50
 ANCHOR = 24
 #: Windows whose minimisers are found at once.
 CHUNK = 1 << 16
-#: The bits of an anchor's hash that name it; the others choose where anchors are compared.
+#: The bits of a context's hash that tell it from others of its anchor.
 _NAME = np.uint64(0xFFFFFFFFFFFF)
+#: The bits of an anchor's hash that tell it from others; the top ones choose where anchors are compared.
+_ANCHOR_NAME = np.uint64(0xFFFFFFFFFF)
 
 
 def _pack(*columns) -> bytes:
@@ -42,16 +44,34 @@ def _unpack(blob: bytes) -> tuple:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
 
 
-def contexts(raw: np.ndarray, offsets: np.ndarray, span: int = SPAN, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, start in it, strings, anchor hash) of the contexts of a batch of texts."""
+_UP = np.uint64(0x9E3779B97F4A7C15)
+_DOWN = np.uint64(pow(int(_UP), -1, 1 << 64))
+
+
+def _pieces(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Byte ranges of whole documents of CHUNK bytes together, or of CHUNK bytes of a longer one, so that a document
+    falls into the same contexts whatever lies beside it."""
+    i, last = 0, len(offsets) - 1
+    while i < last:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, "right")) - 1)
+        for s in range(int(offsets[i]), max(int(offsets[j]), int(offsets[i]) + 1), CHUNK):
+            yield s, min(s + CHUNK, int(offsets[j]))
+        i = j
+
+
+def contexts(raw: np.ndarray, offsets: np.ndarray, span: int = SPAN, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
+    """(document, start in it, strings, anchor's hash, context's hash) of the contexts of a batch of texts."""
     wide = span - anchor + 1
-    docs, starts, counts, hashes = [], [], [], []
+    docs, starts, counts, hashes, whole = [], [], [], [], []
+    up = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(CHUNK + span, _UP)]))
+    down = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(CHUNK + span, _DOWN)]))
     raw = np.ascontiguousarray(raw)
-    total = len(raw) - span + 1
     closed = np.maximum(offsets[:-1], offsets[1:] - span + 1)  # a document's first place without a whole string
     with np.errstate(over="ignore"):
-        for s in range(0, max(total, 0), CHUNK):
-            part = raw[s : s + CHUNK + span - 1]
+        for s, stop in _pieces(offsets):
+            part = raw[s : min(stop + span - 1, len(raw))]
+            if len(part) < span:
+                continue
             eight = np.ndarray((len(part) - 7,), dtype="<u8", buffer=part, strides=(1,))
             n = len(part) - anchor + 1
             x = eight[:n] * np.uint64(0x9E3779B97F4A7C15)
@@ -87,8 +107,35 @@ def contexts(raw: np.ndarray, offsets: np.ndarray, span: int = SPAN, anchor: int
             starts.append(begin + s - offsets[d[owner]])
             counts.append(end - begin)
             hashes.append(x[at[begin]])
+            run = np.concatenate([[np.uint64(0)], np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)])])
+            whole.append(mix((run[end + span - 1] - run[begin]) * down[begin] + (end - begin).astype(np.uint64)))
     none = np.zeros(0, np.int64)
-    return (np.concatenate([none, *docs]).astype(np.uint32), np.concatenate([none, *starts]).astype(np.uint32), np.concatenate([none, *counts]).astype(np.uint8), np.concatenate([none.astype(np.uint64), *hashes]))
+    return (np.concatenate([none, *docs]).astype(np.uint32), np.concatenate([none, *starts]).astype(np.uint32), np.concatenate([none, *counts]).astype(np.uint8), *(np.concatenate([none.astype(np.uint64), *h]) for h in (hashes, whole)))
+
+
+def _names(anchor: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """64-bit names of contexts, by which documents find theirs again."""
+    return (whole & _NAME) | anchor << np.uint64(48)
+
+
+def _low(values: np.ndarray, n: int) -> np.ndarray:
+    """The n low bytes of each value, a row each."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n])
+
+
+def _high(rows: np.ndarray) -> np.ndarray:
+    wide = np.zeros((len(rows), 8), np.uint8)
+    wide[:, : rows.shape[1]] = rows
+    return wide.view("<u8").ravel()
+
+
+def _heads(*columns: np.ndarray) -> np.ndarray:
+    """First places of the runs of equal rows in sorted columns."""
+    if not len(columns[0]):
+        return np.zeros(0, np.int64)
+    new = np.ones(len(columns[0]), dtype=bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(new)
 
 
 def _split(key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -139,6 +186,17 @@ def _by_document(doc: np.ndarray, ids: np.ndarray, hashes: np.ndarray, parts: in
     return out
 
 
+def _joined(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs sorted by document and start, those of a document that touch made one."""
+    if not len(doc):
+        return doc.astype(np.int64), start.astype(np.uint32), end.astype(np.uint32)
+    d = doc.astype(np.int64)
+    s, e = start + d * (1 << 33), end + d * (1 << 33)
+    top = np.maximum.accumulate(e)
+    head = np.flatnonzero(np.concatenate([[True], s[1:] > top[:-1]]))
+    return d[head], (s[head] - d[head] * (1 << 33)).astype(np.uint32), (top[np.append(head[1:] - 1, len(d) - 1)] - d[head] * (1 << 33)).astype(np.uint32)
+
+
 def _regrouped(blobs: pd.Series) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Documents' keys (id, text hash), where each one's entries begin, and the columns of _by_document in that order."""
     seen, doc, columns = _Documents(), [], []
@@ -167,49 +225,52 @@ def spans(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: s
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for turn, batch in enumerate(batches):
             ids, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            doc, start, count, anchor = contexts(*utf8(batch.column(2)), span)
+            doc, _, _, anchor, whole = contexts(*utf8(batch.column(2)), span)
             if not len(doc):
                 continue
-            order = np.argsort(anchor, kind="stable")
-            edge = np.concatenate([[True], anchor[order][1:] != anchor[order][:-1]])
-            head = np.flatnonzero(edge)
-            low, high = np.minimum.reduceat(ids[doc[order]], head), np.maximum.reduceat(ids[doc[order]], head)
-            shared = np.zeros(len(doc), dtype=bool)
-            shared[order] = np.repeat(low < high, np.diff(np.append(head, len(doc))))
-            sent = ~shared
-            sent[order[head]] = True
+            whole &= _NAME
+            order = np.lexsort((ids[doc], whole, anchor))
+            doc, anchor, whole = doc[order], anchor[order], whole[order]
+            head = _heads(anchor, whole)
+            late = ids[doc] > np.repeat(ids[doc[head]], np.diff(np.append(head, len(doc))))
+            once = np.zeros(len(doc), dtype=bool)
+            once[_heads(anchor, whole, doc)] = True
             pairs = []
-            for key, rows in _split(((anchor >> np.uint64(48)).astype(np.int64) % groups)[sent]):
-                rows = np.flatnonzero(sent)[rows]
-                rows.sort()
+            sent = np.flatnonzero(once & ~late)
+            for key, rows in _split((anchor[sent] >> np.uint64(48)).astype(np.int64) % groups):
+                rows = sent[rows]
+                rows = rows[np.argsort(doc[rows], kind="stable")]
                 used, back = np.unique(doc[rows], return_inverse=True)
-                small = np.ascontiguousarray(anchor[rows].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
-                pairs.append((key, _pack("ask", ids[used], hashes[used], np.diff(back, prepend=0).astype(np.uint16), start[rows], count[rows], small)))
-            rows = np.flatnonzero(shared)
+                pairs.append((key, _pack("ask", ids[used], hashes[used], np.diff(back, prepend=0).astype(np.uint16), _low(anchor[rows], 5), _low(whole[rows], 6))))
+            rows = np.flatnonzero(once & late)
             if len(rows):
-                pairs.append((groups + (int(ids[0]) + turn) % groups, _pack("known", ids, hashes, doc[rows], start[rows], count[rows], anchor[rows] & _NAME)))
+                pairs.append((groups + (int(ids[0]) + turn) % groups, _pack("known", ids, hashes, doc[rows], _names(anchor[rows] & _ANCHOR_NAME, whole[rows]))))
             yield _rows(pairs)
 
     def shared_anchors(group: pd.DataFrame) -> pd.DataFrame:
-        seen, doc, start, count, anchor = _Documents(), [], [], [], []
+        seen, doc, anchor, whole = _Documents(), [], [], []
         out = []
         for blob in group["blob"]:
-            kind, ids, hashes, d, s, c, h = _unpack(blob)
-            if kind == "known":
-                out += _by_document(d, ids, hashes, groups, s, c, h)
+            part = _unpack(blob)
+            if part[0] == "known":
+                _, ids, hashes, d, name = part
+                out += _by_document(d, ids, hashes, groups, name, np.ones(len(d), np.uint8))
                 continue
-            d = np.cumsum(d.astype(np.int64))
-            wide = np.zeros((len(h), 8), np.uint8)
-            wide[:, :6] = h
-            doc.append(d + seen.add(ids, hashes)), start.append(s), count.append(c), anchor.append(wide.view("<u8").ravel())
+            _, ids, hashes, d, a, w = part
+            doc.append(np.cumsum(d.astype(np.int64)) + seen.add(ids, hashes)), anchor.append(_high(a)), whole.append(_high(w))
         if doc:
             ids, hashes = seen.all()
-            doc, start, count, anchor = (np.concatenate(x) for x in (doc, start, count, anchor))
-            order = np.argsort(anchor, kind="stable")
-            head = np.flatnonzero(np.concatenate([[True], anchor[order][1:] != anchor[order][:-1]]))
-            low, high = np.minimum.reduceat(ids[doc[order]], head), np.maximum.reduceat(ids[doc[order]], head)
-            rows = order[np.repeat(low < high, np.diff(np.append(head, len(doc))))]
-            out += _by_document(doc[rows], ids, hashes, groups, start[rows], count[rows], anchor[rows])
+            doc, anchor, whole = (np.concatenate(x) for x in (doc, anchor, whole))
+            order = np.lexsort((ids[doc], whole, anchor))
+            doc, anchor, whole = doc[order], anchor[order], whole[order]
+            own = ids[doc]
+            of_anchor, of_context = _heads(anchor), _heads(anchor, whole)
+            size = np.diff(np.append(of_anchor, len(doc)))
+            several = np.add.reduceat(np.isin(np.arange(len(doc)), of_context, assume_unique=True).astype(np.int64), of_anchor) > 1
+            shared = np.repeat(np.minimum.reduceat(own, of_anchor) < np.maximum.reduceat(own, of_anchor), size)
+            late = own > np.repeat(own[of_context], np.diff(np.append(of_context, len(doc))))
+            rows = np.flatnonzero(late | (shared & np.repeat(several, size)))
+            out += _by_document(doc[rows], ids, hashes, groups, _names(anchor[rows], whole[rows]), late[rows].astype(np.uint8))
         return _frame(out)
 
     def gathered(group: pd.DataFrame) -> pd.DataFrame:
@@ -220,33 +281,36 @@ def spans(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: s
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor().decompress
         for turn, batch in enumerate(batches):
+            if not batch.num_rows:
+                continue
             ids, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            rows: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
-            for d, (squeezed, places) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                raw = open_(squeezed)
-                start, count, anchor = _unpack(places)
-                for s, c, h in zip(start.tolist(), count.tolist(), anchor.tolist(), strict=True):
-                    rows.setdefault((h, raw[s : s + c + span - 1]), []).append((d, s))
+            texts = [open_(x) for x in batch.column(2).to_pylist()]
+            raw, offsets = utf8(pa.array(texts, pa.large_binary()))
+            doc, start, count, anchor, whole = contexts(raw, offsets, span)
+            name = _names(anchor & _ANCHOR_NAME, whole)
+            found = np.full(len(doc), 2, np.uint8)  # 1: repeats whole, 0: goes to a shard, 2: neither
+            first = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+            for d, places in enumerate(batch.column(3).to_pylist()):
+                wanted, late = _unpack(places)
+                order = np.lexsort((late == 0, wanted))
+                wanted, late = wanted[order], late[order]
+                mine = name[first[d] : first[d + 1]]
+                at = np.minimum(np.searchsorted(wanted, mine), len(wanted) - 1)
+                found[first[d] : first[d + 1]] = np.where(wanted[at] == mine, late[at], 2)
             pairs: list[tuple[int, bytes]] = []
-            known_d, known_s, known_e = [], [], []
-            send: dict[int, list] = {}
-            for key, at in rows.items():
-                if len(at) > 1:
-                    least = min(at, key=lambda x: ids[x[0]])
-                    first = ids[least[0]]
-                    for d, s in at:
-                        if ids[d] > first:
-                            known_d.append(d), known_s.append(s), known_e.append(s + len(key[1]))
-                    at = [x for x in at if ids[x[0]] == first]
-                for d, s in at:
-                    send.setdefault(key[0] % groups, []).append((key[0], d, s, key[1]))
-            for group, some in send.items():
-                some.sort(key=lambda x: (x[0], x[3]))
-                used, back = np.unique(np.fromiter((x[1] for x in some), np.int64, len(some)), return_inverse=True)
-                lengths = np.fromiter((len(x[3]) for x in some), np.uint8, len(some))
-                pairs.append((group, _pack("ask", ids[used], hashes[used], back.astype(np.uint32), np.fromiter((x[2] for x in some), np.uint32, len(some)), np.fromiter((x[0] for x in some), np.uint64, len(some)), lengths, b"".join(x[3] for x in some))))
-            if known_d:
-                pairs.append((groups + (int(ids[0]) + turn) % groups, _pack("known", ids, hashes, np.array(known_d, np.uint32), np.array(known_s, np.uint32), np.array(known_e, np.uint32))))
+            begin = offsets[doc] + start
+            for group, rows in _split(np.where(found == 0, (anchor & _ANCHOR_NAME).astype(np.int64) % groups, -1)):
+                if group < 0:
+                    continue
+                used, back = np.unique(doc[rows], return_inverse=True)
+                length = count[rows].astype(np.int64) + span - 1
+                flat = b"".join(raw[b : b + n].tobytes() for b, n in zip(begin[rows].tolist(), length.tolist(), strict=True))
+                pairs.append((group, _pack("ask", ids[used], hashes[used], back.astype(np.uint32), start[rows], anchor[rows] & _ANCHOR_NAME, length.astype(np.uint8), flat)))
+            rows = np.flatnonzero(found == 1)
+            if len(rows):
+                rows = rows[np.lexsort((start[rows], doc[rows]))]
+                d, s, e = _joined(doc[rows], start[rows], start[rows].astype(np.int64) + count[rows] + span - 1)
+                pairs.append((groups + (int(ids[0]) + turn) % groups, _pack("known", ids, hashes, d, s, e)))
             yield _rows(pairs)
 
     def matched(group: pd.DataFrame) -> pd.DataFrame:
@@ -282,7 +346,7 @@ def spans(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: s
             size = np.fromiter(map(len, texts), np.int64, len(texts))
             late = ids[doc] > owner[text]
             d, s, e = [doc[late]], [start[late]], [start[late] + size[text[late]]]
-            some = np.array([t for own in of_anchor.values() if len(own) > 1 for t in own], dtype=np.int64)
+            some = np.sort(np.array([t for own in of_anchor.values() if len(own) > 1 for t in own], dtype=np.int64))
             if len(some):
                 index = RunLengthIndex([texts[t] for t in some], owner[some], span)
                 hit, place = index.statistics()
@@ -297,12 +361,8 @@ def spans(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: s
                 d.append(doc[rows]), s.append(start[rows] + p), e.append(start[rows] + p + span)
             d, s, e = (np.concatenate(x) for x in (d, s, e))
             order = np.lexsort((s, d))
-            d, s, e = d[order], s[order], e[order]
-            if len(d):  # touching places of a document become one
-                top = np.maximum.accumulate(e + d * (1 << 33))
-                new = np.concatenate([[True], s[1:] + d[1:] * (1 << 33) > top[:-1]])
-                head = np.flatnonzero(new)
-                out += _by_document(d[head], ids, hashes, groups, s[head].astype(np.uint32), (np.maximum.reduceat(e + d * (1 << 33), head) - d[head] * (1 << 33)).astype(np.uint32))
+            d, s, e = _joined(d[order], s[order], e[order])
+            out += _by_document(d, ids, hashes, groups, s, e)
         return _frame(out)
 
     def merged(group: pd.DataFrame) -> pd.DataFrame:
