@@ -218,7 +218,8 @@ def spans(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: s
     """
     spark = docs.sparkSession
     ship(spark)
-    groups = 4 * partitions(spark)
+    parts = partitions(spark)
+    groups = 2 * parts  # shards; the keys after them carry what needs none
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= span))
 
@@ -244,7 +245,7 @@ def spans(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: s
                 pairs.append((key, _pack("ask", ids[used], hashes[used], np.diff(back, prepend=0).astype(np.uint16), _low(anchor[rows], 5), _low(whole[rows], 6))))
             rows = np.flatnonzero(once & late)
             if len(rows):
-                pairs.append((groups + (int(ids[0]) + turn) % groups, _pack("known", ids, hashes, doc[rows], _names(anchor[rows] & _ANCHOR_NAME, whole[rows]))))
+                pairs.append((groups + (int(ids[0]) + turn) % parts, _pack("known", ids, hashes, doc[rows], _names(anchor[rows] & _ANCHOR_NAME, whole[rows]))))
             yield _rows(pairs)
 
     def shared_anchors(group: pd.DataFrame) -> pd.DataFrame:
@@ -254,7 +255,7 @@ def spans(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: s
             part = _unpack(blob)
             if part[0] == "known":
                 _, ids, hashes, d, name = part
-                out += _by_document(d, ids, hashes, groups, name, np.ones(len(d), np.uint8))
+                out += _by_document(d, ids, hashes, parts, name, np.ones(len(d), np.uint8))
                 continue
             _, ids, hashes, d, a, w = part
             doc.append(np.cumsum(d.astype(np.int64)) + seen.add(ids, hashes)), anchor.append(_high(a)), whole.append(_high(w))
@@ -270,7 +271,7 @@ def spans(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: s
             shared = np.repeat(np.minimum.reduceat(own, of_anchor) < np.maximum.reduceat(own, of_anchor), size)
             late = own > np.repeat(own[of_context], np.diff(np.append(of_context, len(doc))))
             rows = np.flatnonzero(late | (shared & np.repeat(several, size)))
-            out += _by_document(doc[rows], ids, hashes, groups, _names(anchor[rows], whole[rows]), late[rows].astype(np.uint8))
+            out += _by_document(doc[rows], ids, hashes, parts, _names(anchor[rows], whole[rows]), late[rows].astype(np.uint8))
         return _frame(out)
 
     def gathered(group: pd.DataFrame) -> pd.DataFrame:
@@ -310,7 +311,7 @@ def spans(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: s
             if len(rows):
                 rows = rows[np.lexsort((start[rows], doc[rows]))]
                 d, s, e = _joined(doc[rows], start[rows], start[rows].astype(np.int64) + count[rows] + span - 1)
-                pairs.append((groups + (int(ids[0]) + turn) % groups, _pack("known", ids, hashes, d, s, e)))
+                pairs.append((groups + (int(ids[0]) + turn) % parts, _pack("known", ids, hashes, d, s, e)))
             yield _rows(pairs)
 
     def matched(group: pd.DataFrame) -> pd.DataFrame:
@@ -323,7 +324,7 @@ def spans(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: s
             part = _unpack(blob)
             if part[0] == "known":
                 _, ids, hashes, d, s, e = part
-                out += _by_document(d, ids, hashes, groups, s, e)
+                out += _by_document(d, ids, hashes, parts, s, e)
                 continue
             _, ids, hashes, back, start, anchor, lengths, flat = part
             base, at = seen.add(ids, hashes), 0
@@ -362,7 +363,7 @@ def spans(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: s
             d, s, e = (np.concatenate(x) for x in (d, s, e))
             order = np.lexsort((s, d))
             d, s, e = _joined(d[order], s[order], e[order])
-            out += _by_document(d, ids, hashes, groups, s, e)
+            out += _by_document(d, ids, hashes, parts, s, e)
         return _frame(out)
 
     def merged(group: pd.DataFrame) -> pd.DataFrame:
@@ -432,9 +433,10 @@ def without_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     def kept(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
         return pd.Series([t if not s else _kept(t.encode(), s, e)[0].decode("utf-8", "ignore") for t, s, e in zip(text, starts, ends, strict=True)], dtype=object)
 
-    keyed = docs.withColumn("text_hash", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    joined = keyed.join(found.withColumnRenamed("doc_id", "__id"), (F.col("doc_id") == F.col("__id")) & (keyed["text_hash"] == found["text_hash"]), "left")
-    new = joined.withColumn("text", kept("text", "starts", "ends"))
+    found = found.toDF("__id", "__found_hash", "__starts", "__ends")
+    keyed = docs.withColumn("__text_hash", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    joined = keyed.join(found, (F.col("doc_id") == F.col("__id")) & (F.col("__text_hash") == F.col("__found_hash")), "left")
+    new = joined.withColumn("text", kept("text", "__starts", "__ends"))
     if "n_chars" in docs.columns:
-        new = new.withColumn("n_chars", F.when(F.col("starts").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        new = new.withColumn("n_chars", F.when(F.col("__starts").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return new.select(*docs.columns)
