@@ -2,11 +2,13 @@
 
 A text's set is its distinct n-word shingles (fewer words: the whole sequence; none: empty, linked with nothing).
 Texts of equal sets fall together first. A sketch is the k smallest hashes of the set. Two sets of likeness t
-share about k*t sketch values, `need` of them six standard deviations below that, so it is enough to index each
-sketch's rarest k - need + 1 values: values that only one sketch holds go first and cost nothing. Inverted lists
-of up to SHORT sketches give all their pairs. A longer list gives its first sketch against each other one;
-once those are verified and joined to components, members outside their list's component meet the others.
-The union-sketch estimate filters candidates, exact likeness of the full sets decides.
+share about k*t sketch values, `need` of them five standard deviations below that, so it is enough to index each
+sketch's rarest k - need + 1 values: values that only one sketch holds go first and cost nothing. Each inverted
+list has a hub, the sketch with the most common values. Every sketch first meets the hub of its longest list alone.
+Once those pairs are verified and joined to components, lists that still hold several of them give more: short ones
+all pairs across components, longer ones the hub's, and at last the members that no hub links meet one another and
+the hub's links, as far as the triangle inequality leaves a link possible. The union-sketch estimate filters
+candidates, exact likeness of the full sets decides.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from greenwake.llm.components import components
 from greenwake.llm.textbytes import shingles, utf8, words
 from greenwake.session import cut, ship
 
-K = 64
+K = 128
 SHORT = 6
 
 
@@ -54,8 +56,13 @@ def sketches(docs: DataFrame, n: int, k: int = K, id_col: str = "doc_id", text_c
 
 
 def required(k: int, likeness: float) -> int:
-    """Sketch values that two sets of this likeness share, but for a chance below 1e-8."""
-    return max(1, math.floor(k * likeness - 6 * math.sqrt(k * likeness * (1 - likeness))))
+    """Sketch values that two sets of this likeness share, but for a chance below 1e-6."""
+    return max(1, math.floor(k * likeness - 5 * math.sqrt(k * likeness * (1 - likeness))))
+
+
+def _floor(k: int, likeness: float) -> float:
+    """The least estimate that sets of this likeness show, but for a chance below 1e-4."""
+    return likeness - 4 * math.sqrt(likeness * (1 - likeness) / k)
 
 
 def _postings(sets: DataFrame) -> DataFrame:
@@ -63,41 +70,60 @@ def _postings(sets: DataFrame) -> DataFrame:
         for batch in batches:
             values = [np.frombuffer(x, dtype=np.int64) for x in batch.column(1).to_pylist()]
             sizes = np.fromiter(map(len, values), dtype=np.int64, count=len(values))
-            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *values])), pa.array(ids), pa.array(np.repeat(sizes, sizes))], names=["value", "id", "size"])
+            ids, whole = (np.repeat(batch.column(i).to_numpy(zero_copy_only=False), sizes) for i in (0, 2))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *values])), pa.array(ids), pa.array(np.repeat(sizes, sizes)), pa.array(whole)], names=["value", "id", "size", "whole"])
+
+    return sets.select("id", "sketch", "whole").mapInArrow(run, "value long, id long, size long, whole long")
+
+
+#: Longs of a sketch's bitmap.
+BITS = 8
+
+
+def _bitmaps(sets: DataFrame) -> DataFrame:
+    """(id, b0, b1, ...): each sketch's values as set bits of 64 * BITS."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.zeros((batch.num_rows, 64 * BITS), dtype=np.uint8)
+            for i, x in enumerate(batch.column(1).to_pylist()):
+                out[i, np.frombuffer(x, dtype=np.uint64) % np.uint64(64 * BITS)] = 1
+            longs = np.packbits(out, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(longs[:, j])) for j in range(BITS))], names=["id", *(f"b{j}" for j in range(BITS))])
 
-    return sets.select("id", "sketch").mapInArrow(run, "value long, id long, size long")
+    return sets.select("id", "sketch").mapInArrow(run, "id long, " + ", ".join(f"b{j} long" for j in range(BITS)))
 
 
 def _lists(sets: DataFrame, k: int, likeness: float) -> DataFrame:
-    """(value, id) of each sketch's rarest values, those that a single sketch holds left out."""
+    """(value, id, whole, weight) of each sketch's rarest values, those that a single sketch holds left out; whole is the
+    full set's size, weight says how common the sketch's values are altogether, which is highest for the text that copies were made from."""
     postings = _postings(sets)
     held = postings.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = postings.join(held, "value").groupBy("id").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("by"))
+    shared = postings.join(held, "value").groupBy("id").agg(F.first("size").alias("size"), F.first("whole").alias("whole"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("by"))
     prefix = F.col("size") - F.least(F.lit(required(k, likeness)), F.ceil(F.col("size") * likeness)) + 1
     take = prefix - (F.col("size") - F.size("by"))
-    return shared.withColumn("take", take.cast("int")).filter("take > 0").select(F.explode(F.expr("slice(by, 1, take)")).alias("x"), "id").select("x.value", "id")
+    weight = F.aggregate("by", F.lit(0).cast("long"), lambda a, x: a + x["df"])
+    return shared.withColumn("take", take.cast("int")).filter("take > 0").select(F.explode(F.expr("slice(by, 1, take)")).alias("x"), "id", "whole", weight.alias("weight")).select("x.value", "id", "whole", "weight")
 
 
-def _estimated(pairs: DataFrame, sets: DataFrame, k: int, likeness: float) -> DataFrame:
-    """pairs whose union sketch leaves the likeness possible."""
-    least = likeness - 5 * math.sqrt(likeness * (1 - likeness) / k)
+def _estimated(pairs: DataFrame, sets: DataFrame, k: int, floor: float) -> DataFrame:
+    """pairs whose union sketch estimates a likeness of floor or more, with the estimate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                p, q = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                both = np.sort(np.concatenate([p, q]))
-                twice = both[1:][both[1:] == both[:-1]]
-                union = np.unique(both)[:k]
+            value = np.zeros(batch.num_rows)
+            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                both = np.sort(np.concatenate([np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)]))
+                twice = both[1:] == both[:-1]
+                union = np.delete(both, np.flatnonzero(twice))[:k]
                 # where neither sketch is cut short the estimate is the likeness itself
-                keep.append(bool(len(union)) and np.searchsorted(twice, union[-1], "right") >= least * len(union) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                value[i] = np.searchsorted(both[1:][twice], union[-1], "right") / len(union)
+            made = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(value)], names=["a", "b", "e"])
+            yield made.filter(pa.array(value >= floor - 1e-9))
 
     side = sets.select("id", "sketch")
     joined = pairs.join(side.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").join(side.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b").select("a", "b", "x", "y")
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(run, "a long, b long, e double")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -132,6 +158,22 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
+    return rows.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+
+
+def _placed(tagged: DataFrame, links: DataFrame) -> DataFrame:
+    """tagged with the components of the member (c) and of its list's hub (hc)."""
+    where = components(links).select(F.col("node").alias("id"), F.col("component").alias("c"))
+    out = tagged.join(where, "id", "left").join(where.select(F.col("id").alias("hub"), F.col("c").alias("hc")), "hub", "left")
+    return out.select("value", "id", "whole", "hub", "n", F.coalesce("c", "id").alias("c"), F.coalesce("hc", "hub").alias("hc"))
+
+
+def _mixed(placed: DataFrame) -> DataFrame:
+    """The lists that hold several components."""
+    return placed.groupBy("value").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low != high").select("value")
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs.
 
@@ -144,26 +186,45 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, k: int = K,
     named = seen.filter("set_id is not null and doc_id is not null")
     groups = named.groupBy("set_id").agg(F.min("doc_id").alias("id"))
     same = named.select("doc_id", "set_id").join(groups, "set_id").filter("doc_id != id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    sets = cut(named.join(groups.withColumnRenamed("id", "doc_id"), ["set_id", "doc_id"]).dropDuplicates(["set_id"]).select(F.col("doc_id").alias("id"), "sketch"), "sets")
-    lists = _lists(sets, k, likeness)
-    lists = cut(lists, "lists")
-    heads = lists.groupBy("value").agg(F.min("id").alias("head"), F.count("*").alias("n")).filter("n > 1")
-    tagged = lists.join(heads, "value")
-    short = tagged.filter(F.col("n") <= SHORT).select("value", "id")
-    pairs = short.select("value", F.col("id").alias("a")).join(short.select("value", F.col("id").alias("b")), "value").filter("a < b").select("a", "b")
-    pairs = pairs.unionByName(tagged.filter((F.col("n") > SHORT) & (F.col("id") > F.col("head"))).select(F.col("head").alias("a"), F.col("id").alias("b"))).distinct()
+    sets = cut(named.join(groups.withColumnRenamed("id", "doc_id"), ["set_id", "doc_id"]).dropDuplicates(["set_id"]).select(F.col("doc_id").alias("id"), "sketch", F.col("n_shingles").alias("whole")), "sets")
+    lists = cut(_lists(sets, k, likeness), "lists")
+    hubs = lists.groupBy("value").agg(F.max(F.struct("weight", -F.col("id"))).alias("m"), F.count("*").alias("n")).filter("n > 1")
+    tagged = lists.select("value", "id", "whole").join(hubs.select("value", (-F.col("m.col2")).alias("hub"), "n"), "value")
+    tagged = cut(tagged, "tagged")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    first = cut(_estimated(pairs, sets, k, likeness), "pairs")
-    links = cut(_verified(first, texts, n, percent), "links")
-    joined = components(links)
-    # members of long lists outside their head's component, against the members of other components
-    long_ = tagged.filter(F.col("n") > SHORT).select("value", "id", "head")
-    where = joined.select(F.col("node").alias("id"), F.col("component").alias("c"))
-    long_ = long_.join(where, "id", "left").join(where.select(F.col("id").alias("head"), F.col("c").alias("hc")), "head", "left")
-    long_ = long_.select("value", "id", F.coalesce("c", "id").alias("c"), F.coalesce("hc", "head").alias("hc"))
-    stray = long_.filter("c != hc").select("value", F.col("id").alias("x"), F.col("c").alias("cx"))
-    more = stray.join(long_.select("value", F.col("id").alias("y"), F.col("c").alias("cy")), "value").filter("cx != cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = cut(_estimated(more, sets, k, likeness), "pairs")
+
+    high, low = _floor(k, likeness), _floor(k, max(0.0, 2 * likeness - 1))  # two links apart, sets are that like still
+    # 1: each sketch against the hub of its longest list
+    one = tagged.groupBy("id").agg(F.max(F.struct("n", "value", "hub")).alias("m")).select("id", F.col("m.hub").alias("hub")).filter("id != hub")
+    near = cut(_estimated(_pairs(one, "id", "hub"), sets, k, low), "pairs")
+    tried, links = near.select("a", "b"), cut(_verified(near.filter(F.col("e") >= high), texts, n, percent), "links")
+
+    # 2: lists that still hold several components: all pairs across them in short ones, the hub's in longer ones
+    placed = _placed(tagged, links)
+    open_ = cut(placed.join(_mixed(placed), "value"), "open")
+    alike = 100 * F.least("whole", "size") >= percent * F.greatest("whole", "size")  # sets of other sizes can't link
+    short = open_.filter(F.col("n") <= SHORT).select("value", "id", "c", "whole")
+    pairs = short.join(short.select("value", F.col("id").alias("other"), F.col("c").alias("oc"), F.col("whole").alias("size")), "value").filter(F.expr("id < other and c != oc") & alike)
+    pairs = _pairs(pairs, "id", "other").unionByName(_pairs(open_.filter((F.col("n") > SHORT) & (F.col("c") != F.col("hc"))), "id", "hub"))
+    near = cut(_estimated(pairs.distinct().join(tried, ["a", "b"], "left_anti"), sets, k, low), "pairs")
+    links, tried = cut(links.unionByName(_verified(near.filter(F.col("e") >= high), texts, n, percent)), "links"), tried.unionByName(near.select("a", "b"))
+
+    # 3: members of longer lists that their hub doesn't link: against each other, and, unless they are too far from
+    # the hub to link with what it links (likeness is a metric), against its links
+    long_ = _placed(open_.filter(F.col("n") > SHORT).select("value", "id", "whole", "hub", "n"), links)
+    long_ = long_.join(_mixed(long_), "value")
+    linked = links.select("a", "b", F.lit(True).alias("linked"))
+    long_ = long_.withColumn("a", F.least("id", "hub")).withColumn("b", F.greatest("id", "hub")).join(linked, ["a", "b"], "left").join(tried.select("a", "b", F.lit(True).alias("tried")), ["a", "b"], "left")
+    long_ = cut(long_.select("value", "id", "whole", "c", (F.coalesce("linked", F.lit(False)) | (F.col("id") == F.col("hub"))).alias("direct"), F.coalesce("tried", F.lit(False)).alias("close")), "open")
+    long_ = long_.join(_bitmaps(sets), "id")
+    names = [f"b{j}" for j in range(BITS)]
+    loose = long_.filter("not direct").select("value", F.col("id").alias("x"), F.col("c").alias("cx"), "whole", "close", *names)
+    other = long_.select("value", F.col("id").alias("y"), F.col("c").alias("cy"), F.col("whole").alias("size"), "direct", *[F.col(b).alias(f"o{b}") for b in names])
+    # sketches that share r values share 0.78 r bits at least, five deviations below the mean
+    need = 0.78 * F.least(F.lit(required(k, likeness)), F.ceil(F.least("whole", "size") * likeness))
+    common = sum((F.bit_count(F.col(b).bitwiseAND(F.col(f"o{b}"))) for b in names), F.lit(0))
+    more = loose.join(other, "value").filter(F.expr("cx != cy and (direct and close or not direct and x < y)") & alike & (common >= need))
+    more = cut(_estimated(_pairs(more, "x", "y").distinct().join(tried, ["a", "b"], "left_anti"), sets, k, high), "pairs")
     if more.limit(1).count():
         links = links.unionByName(_verified(more, texts, n, percent))
     whole = components(links.unionByName(same))
