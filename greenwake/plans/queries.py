@@ -217,21 +217,14 @@ def _surfaces(spark, d):
     return fixtures.points(spark, d).select("hole_id", F.col("label").alias("surface"), F.col("x").alias("x_lateral_m"), F.col("y").alias("y_down_hole_m"), F.col("z").alias("z_relative_m"))
 
 
-def _few(spark, d):
-    """The first 24 holes: a target list, which ranking takes as a parameter."""
-    return _meta(spark, d).filter("hole_id < 24")
-
-
 def _scored(spark, d, config):
-    few = _few(spark, d)
-    return cloud.batch(few, _surfaces(spark, d).join(few.select("hole_id"), "hole_id", "left_semi"), config, 5)[0]
+    return cloud.batch(_meta(spark, d), _surfaces(spark, d), config, 5)[0]
 
 
 @query
 def chamfer_tee(spark, d):
-    few = _few(spark, d)
-    p = cloud.budgeted(_surfaces(spark, d).filter("surface = 'tee'").join(few.select("hole_id"), "hole_id", "left_semi"), BASELINE)
-    pairs = cloud.candidate_pairs(few, BASELINE).filter("filter_reason = 'PASS'")
+    p = cloud.budgeted(_surfaces(spark, d).filter("surface = 'tee'"), BASELINE)
+    pairs = cloud.candidate_pairs(_meta(spark, d), BASELINE).filter("filter_reason = 'PASS'")
     return _r(cloud.chamfer_join(pairs, p, BASELINE.scale))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from greenwake.functions import geometry as G
 from greenwake.functions.stats import even_ordinals, even_subsample, standardised
 from greenwake.operators import cloud, clusters, course, features, neighbours, plausibility, publish, terrain
-from greenwake.plans.queries import BASELINE
+from greenwake.plans.queries import BASELINE, HAZARD, QUERIES
 from greenwake.sources import configs, readers, sinks
 
 
@@ -185,6 +185,57 @@ def test_candidate_filter_and_scores(spark):
     assert cloud.calibration(cloud.components(best, BASELINE), BASELINE).first()["elevation_correlation"] is None
 
 
+@pytest.fixture(scope="module")
+def course_tables(spark, tmp_path_factory):
+    """40 holes with 90 points each as the driver's tables, and every passing pair's score by brute force."""
+    d, rng = tmp_path_factory.mktemp("tables"), np.random.default_rng(5)
+    spark.createDataFrame([(h, h % 4) for h in range(40)], "s_suppkey long, s_nationkey int").coalesce(1).write.parquet(f"{d}/supplier.parquet")
+    items = [(h, int(k), int(n), float(q), float(e), float(c) / 100) for h in range(40) for k, n, q, e, c in zip(rng.integers(0, 500, 90), rng.integers(1, 8, 90), rng.integers(1, 51, 90), rng.integers(100, 90000, 90), rng.integers(0, 11, 90), strict=True)]
+    spark.createDataFrame(items, "l_suppkey long, l_partkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double").coalesce(1).write.parquet(f"{d}/lineitem.parquet")
+    names, sets = {4: "green", 5: "bunker", 6: "water", 7: "tee", 0: "fairway", 1: "fairway", 2: "fairway", 3: "fairway"}, {}
+    for h, k, n, q, e, c in items:
+        r = (k * 7 + n * 3) % 11
+        if r in names:
+            sets.setdefault((h, names[r]), []).append((q - 25.5, 380 + c * 100 if r == 4 else e / 200, (c * 100 - 5)))
+    for key, p in sets.items():
+        p.sort()
+        sets[key] = np.array([p[i] for i in even_ordinals(len(p), BASELINE.budgets[key[1]])] if len(p) > BASELINE.budgets[key[1]] else p) * BASELINE.scale
+    yards = [(120 + 150 * (h % 3) + h * 37 % 60) * 1.09361 for h in range(40)]
+    tee, total = {}, {c.config_name: {} for c in (BASELINE, HAZARD)}
+    for a in range(40):
+        for b in range(40):
+            least, share = BASELINE.windows[3 + a % 3]
+            if a != b and a % 3 == b % 3 and abs(yards[a] - yards[b]) <= max(least, share * yards[a]):
+                score = {s: cloud.chamfer(sets[a, s], sets[b, s]) for s in BASELINE.weights}
+                tee[a, b] = score["tee"]
+                for c in (BASELINE, HAZARD):
+                    total[c.config_name].setdefault(a, []).append((sum(score[s] * w for s, w in c.weights.items()) + abs(yards[a] - yards[b]) * 0.15 + abs(a % 7 - b % 7) * 0.1, b))
+    return str(d), tee, {c: {a: sorted(x)[:5] for a, x in t.items()} for c, t in total.items()}
+
+
+def test_all_holes_are_targets_and_candidates(spark, course_tables):
+    d, tee, best = course_tables
+    got = {(r["target_hole_id"], r["candidate_hole_id"]): r["chamfer"] for r in QUERIES["chamfer_tee"](spark, d).collect()}
+    assert got.keys() == tee.keys() and all(got[k] == pytest.approx(v, abs=1e-5) for k, v in tee.items())
+    want = {(a, b): (i + 1, t) for a, x in best["baseline"].items() for i, (t, b) in enumerate(x)}
+    for name in ("rank_topn", "pair_score"):
+        top = {(r["target_hole_id"], r["candidate_hole_id"]): (r["rank"], r["total_score"]) for r in QUERIES[name](spark, d).collect()}
+        assert top.keys() == want.keys() and all(top[k] == (v[0], pytest.approx(v[1], abs=1e-4)) for k, v in want.items())
+    parts = {(r["target_hole_id"], r["candidate_hole_id"]): r["recomputed_total"] for r in QUERIES["calibration_components"](spark, d).collect()}
+    assert parts.keys() == want.keys() and all(parts[k] == pytest.approx(v[1], abs=1e-4) for k, v in want.items())
+    assert QUERIES["calibration_summary"](spark, d).first()["n_pairs"] == len(want)
+
+
+def test_configurations_are_compared_over_all_holes(spark, course_tables):
+    d, _, best = course_tables
+    ids = {c: {a: {b for _, b in x} for a, x in t.items()} for c, t in best.items()}
+    got = {r["target_hole_id"]: (r["overlap_count"], r["union_count"]) for r in QUERIES["config_overlap"](spark, d).collect()}
+    assert got == {a: (len(x & ids["hazard"][a]), len(x | ids["hazard"][a])) for a, x in ids["baseline"].items()}
+    pairs = {c: {(a, b) for a, x in t.items() for b in x} for c, t in ids.items()}
+    assert {tuple(r) for r in QUERIES["shared_all_configs"](spark, d).collect()} == pairs["baseline"] & pairs["hazard"]
+    assert {(r["target_hole_id"], r["candidate_hole_id"]) for r in QUERIES["rank_comparison"](spark, d).collect()} == pairs["baseline"] | pairs["hazard"]
+
+
 def test_even_subsample(spark):
     df = spark.range(23).select(F.lit(1).alias("k"), F.col("id"))
     got = [r["id"] for r in even_subsample(df, ["k"], ["id"], F.lit(7)).orderBy("id").collect()]
