@@ -81,17 +81,20 @@ BITS = 8
 
 
 def _bitmaps(sets: DataFrame) -> DataFrame:
-    """(id, b0, b1, ...): each sketch's values as set bits of 64 * BITS."""
+    """(id, spare, b0, b1, ...): each sketch's values as set bits of 64 * BITS, and by how many it has more values than bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.zeros((batch.num_rows, 64 * BITS), dtype=np.uint8)
+            size = np.zeros(batch.num_rows, dtype=np.int64)
             for i, x in enumerate(batch.column(1).to_pylist()):
-                out[i, np.frombuffer(x, dtype=np.uint64) % np.uint64(64 * BITS)] = 1
+                values = np.frombuffer(x, dtype=np.uint64)
+                out[i, values % np.uint64(64 * BITS)], size[i] = 1, len(values)
+            spare = pa.array(size - out.sum(axis=1, dtype=np.int64))
             longs = np.packbits(out, axis=1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(longs[:, j])) for j in range(BITS))], names=["id", *(f"b{j}" for j in range(BITS))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), spare, *(pa.array(np.ascontiguousarray(longs[:, j])) for j in range(BITS))], names=["id", "spare", *(f"b{j}" for j in range(BITS))])
 
-    return sets.select("id", "sketch").mapInArrow(run, "id long, " + ", ".join(f"b{j} long" for j in range(BITS)))
+    return sets.select("id", "sketch").mapInArrow(run, "id long, spare long, " + ", ".join(f"b{j} long" for j in range(BITS)))
 
 
 def _lists(sets: DataFrame, k: int, likeness: float) -> DataFrame:
@@ -218,10 +221,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, k: int = K,
     long_ = cut(long_.select("value", "id", "whole", "c", (F.coalesce("linked", F.lit(False)) | (F.col("id") == F.col("hub"))).alias("direct"), F.coalesce("tried", F.lit(False)).alias("close")), "open")
     long_ = long_.join(_bitmaps(sets), "id")
     names = [f"b{j}" for j in range(BITS)]
-    loose = long_.filter("not direct").select("value", F.col("id").alias("x"), F.col("c").alias("cx"), "whole", "close", *names)
-    other = long_.select("value", F.col("id").alias("y"), F.col("c").alias("cy"), F.col("whole").alias("size"), "direct", *[F.col(b).alias(f"o{b}") for b in names])
-    # sketches that share r values share 0.78 r bits at least, five deviations below the mean
-    need = 0.78 * F.least(F.lit(required(k, likeness)), F.ceil(F.least("whole", "size") * likeness))
+    loose = long_.filter("not direct").select("value", F.col("id").alias("x"), F.col("c").alias("cx"), "whole", "close", "spare", *names)
+    other = long_.select("value", F.col("id").alias("y"), F.col("c").alias("cy"), F.col("whole").alias("size"), "direct", F.col("spare").alias("ospare"), *[F.col(b).alias(f"o{b}") for b in names])
+    # r shared values share r bits at least, less those that fall together within a sketch
+    need = F.least(F.lit(required(k, likeness)), F.ceil(F.least("whole", "size") * likeness)) - F.least("spare", "ospare")
     common = sum((F.bit_count(F.col(b).bitwiseAND(F.col(f"o{b}"))) for b in names), F.lit(0))
     more = loose.join(other, "value").filter(F.expr("cx != cy and (direct and close or not direct and x < y)") & alike & (common >= need))
     more = cut(_estimated(_pairs(more, "x", "y").distinct().join(tried, ["a", "b"], "left_anti"), sets, k, high), "pairs")

@@ -98,6 +98,28 @@ def test_minhash_matches_brute_force(spark):
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_minhash_links_short_texts_whose_values_share_a_bit(spark):
+    rng = np.random.default_rng(11)
+    bases, clashing = [], 0
+    while clashing < 12:
+        base = " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 7)) for _ in range(5))
+        values = next(minhash._sets(pa.RecordBatch.from_arrays([pa.array([base.encode()])], names=["t"]), 0, 2)).view(np.uint64)
+        clash = len(np.unique(values % np.uint64(64 * minhash.BITS))) < len(values)
+        clashing += clash
+        if clash or len(bases) < 20:
+            bases.append(base)
+    # the hub is a variant that links the base, the other variants link the base only
+    texts = [t for b in bases for t in (*(f"{b} other{i}" for i in range(9)), b)]
+    sets = [set(zip(t.split(), t.split()[1:], strict=False)) for t in texts]
+    root = list(range(len(texts)))
+    for _ in range(3):
+        for a, b in itertools.combinations(range(len(texts)), 2):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                root[a] = root[b] = min(root[a], root[b])
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame(spark, texts), 2, 80).collect()}
+    assert got == dict(enumerate(root)) and len(set(root)) == len(bases)
+
+
 def test_simhash(spark, docs):
     got = {r["doc_id"]: r for r in simhash.edit_study(docs).collect()}
     assert len(got) == len(TEXTS) and got[0]["fingerprint"] == got[1]["fingerprint"] and got[0]["near_next"] == 1
