@@ -26,10 +26,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one of the smallest id; rows without an id stay."""
-    kept = minhash.near_duplicates(docs, n=5, percent=80).filter("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    """One row of each group of near copies stays, the one of the smallest id, rows without an id coming last. Rows are
+    told apart by id and text, so an id's other texts stay; rows without an id and without a word all stay."""
+    key = F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(2**63 - 1))
+    keyed = docs.withColumn("__key", key)
+    seen = minhash.near_duplicates(keyed, n=5, percent=80, id_col="__key").select(F.col("doc_id").alias("__key"), "n_shingles", "component_id").distinct()
+    rows = keyed.select("__key", "doc_id").distinct().join(seen, "__key")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__key"))
+    kept = rows.groupBy("component_id").agg(first.alias("m"), F.max("n_shingles").alias("n")).select("m.__key", (F.col("n") == 0).alias("__bare"))
+    found = keyed.join(kept, "__key")
+    bare = F.col("__bare") & F.col("doc_id").isNull()
+    return found.filter(~bare).dropDuplicates(["__key"]).unionByName(found.filter(bare)).select(*docs.columns)
 
 
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

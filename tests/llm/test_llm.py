@@ -298,6 +298,15 @@ def test_pipeline(spark, tmp_path):
     assert {r["doc_id"] for r in out.select("doc_id").distinct().collect()} == {*range(30), 33}
 
 
+def test_near_dedup_tells_rows_of_one_id_apart(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    a, b, c, d = (sentence(50 + i, 60) for i in range(4))
+    rows = [(1, a), (5, a), (5, b), (7, c), (7, d), (7, d), (None, c), (None, "x y z"), (None, "x y z"), (None, None), (None, None), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in pipeline.near_dedup(spark, docs, "").collect()), key=str)
+    assert got == sorted([(1, a), (5, b), (7, c), (7, d), (None, "x y z"), (None, None), (None, None), (8, None)], key=str)
+
+
 def test_registered_queries():
     from greenwake.llm import queries
 
