@@ -6,9 +6,9 @@ share about k*t sketch values, `need` of them five standard deviations below tha
 sketch's rarest k - need + 1 values: values that only one sketch holds go first and cost nothing. Each inverted
 list has a hub, the sketch with the most common values. Every sketch first meets the hub of its longest list alone.
 Once those pairs are verified and joined to components, lists that still hold several of them give more: short ones
-all pairs across components, longer ones the hub's, and at last the members that no hub links meet one another and
-the hub's links, as far as the triangle inequality leaves a link possible. The union-sketch estimate filters
-candidates, exact likeness of the full sets decides.
+all pairs across components, longer ones the hub's. Members that their hub doesn't reach even so meet its other members
+as far as their full sets, taken relative to the hub's, leave a link possible. The union-sketch estimate filters
+candidates, exact likeness of the full sets decides. Intermediate tables are deleted as soon as nothing reads them.
 """
 
 from __future__ import annotations
@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 
 from greenwake.llm.components import components
 from greenwake.llm.textbytes import shingles, utf8, words
-from greenwake.session import cut, ship
+from greenwake.session import cut, drop_cut, ship
 
-K = 128
+K = 64
 SHORT = 6
 
 
@@ -70,31 +70,10 @@ def _postings(sets: DataFrame) -> DataFrame:
         for batch in batches:
             values = [np.frombuffer(x, dtype=np.int64) for x in batch.column(1).to_pylist()]
             sizes = np.fromiter(map(len, values), dtype=np.int64, count=len(values))
-            ids, whole = (np.repeat(batch.column(i).to_numpy(zero_copy_only=False), sizes) for i in (0, 2))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *values])), pa.array(ids), pa.array(np.repeat(sizes, sizes)), pa.array(whole)], names=["value", "id", "size", "whole"])
+            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *values])), pa.array(ids)], names=["value", "id"])
 
-    return sets.select("id", "sketch", "whole").mapInArrow(run, "value long, id long, size long, whole long")
-
-
-#: Longs of a sketch's bitmap.
-BITS = 8
-
-
-def _bitmaps(sets: DataFrame) -> DataFrame:
-    """(id, spare, b0, b1, ...): each sketch's values as set bits of 64 * BITS, and by how many it has more values than bits."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = np.zeros((batch.num_rows, 64 * BITS), dtype=np.uint8)
-            size = np.zeros(batch.num_rows, dtype=np.int64)
-            for i, x in enumerate(batch.column(1).to_pylist()):
-                values = np.frombuffer(x, dtype=np.uint64)
-                out[i, values % np.uint64(64 * BITS)], size[i] = 1, len(values)
-            spare = pa.array(size - out.sum(axis=1, dtype=np.int64))
-            longs = np.packbits(out, axis=1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), spare, *(pa.array(np.ascontiguousarray(longs[:, j])) for j in range(BITS))], names=["id", "spare", *(f"b{j}" for j in range(BITS))])
-
-    return sets.select("id", "sketch").mapInArrow(run, "id long, spare long, " + ", ".join(f"b{j} long" for j in range(BITS)))
+    return sets.select("id", "sketch").mapInArrow(run, "value long, id long")
 
 
 def _lists(sets: DataFrame, k: int, likeness: float) -> DataFrame:
@@ -102,8 +81,9 @@ def _lists(sets: DataFrame, k: int, likeness: float) -> DataFrame:
     full set's size, weight says how common the sketch's values are altogether, which is highest for the text that copies were made from."""
     postings = _postings(sets)
     held = postings.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = postings.join(held, "value").groupBy("id").agg(F.first("size").alias("size"), F.first("whole").alias("whole"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("by"))
-    prefix = F.col("size") - F.least(F.lit(required(k, likeness)), F.ceil(F.col("size") * likeness)) + 1
+    shared = postings.join(held, "value").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("by"))
+    shared = shared.join(sets.select("id", "whole"), "id").withColumn("size", F.least(F.col("whole"), F.lit(k)))
+    prefix = F.col("size") - F.least(F.lit(required(k, likeness)), F.ceil(F.col("size") * likeness - 1e-9)) + 1
     take = prefix - (F.col("size") - F.size("by"))
     weight = F.aggregate("by", F.lit(0).cast("long"), lambda a, x: a + x["df"])
     return shared.withColumn("take", take.cast("int")).filter("take > 0").select(F.explode(F.expr("slice(by, 1, take)")).alias("x"), "id", "whole", weight.alias("weight")).select("x.value", "id", "whole", "weight")
@@ -131,34 +111,69 @@ def _estimated(pairs: DataFrame, sets: DataFrame, k: int, floor: float) -> DataF
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """pairs with 100 * intersection >= percent * union over the full sets."""
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([squeeze((t or "").encode()) for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "text"])
-
-    packed = cut(texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(pack, "id long, text binary"), "texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_ = zstandard.ZstdDecompressor().decompress
-        last: tuple[int | None, np.ndarray | None] = (None, None)
-        for batch in batches:
+        for batch, both in _set_pairs(batches, n):
             keep = []
-            ids = batch.column(0).to_pylist()
-            for i, left, right in zip(ids, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                two = [right] if last[0] == i else [right, left]
-                got = list(_sets(pa.RecordBatch.from_arrays([pa.array([open_(t) for t in two], pa.binary())], names=["t"]), 0, n))
-                if last[0] != i:
-                    last = (i, got[1])
-                x, y = last[1], got[0]
-                both = np.sort(np.concatenate([x, y]))
-                inter = int((both[1:] == both[:-1]).sum())
+            for x, y in both:
+                inter = int(np.isin(y, x, assume_unique=True).sum())
                 keep.append(100 * inter >= percent * (len(x) + len(y) - inter))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.join(packed.select(F.col("id").alias("b"), F.col("text").alias("y")), "b").join(packed.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
-    return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return _with_texts(pairs, texts, "a", "b").mapInArrow(run, "a long, b long")
+
+
+def _relative(members: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """(hub, id, whole, common, rest) of members(hub, id): the size of the member's full set, how much of it the hub
+    holds, and the shingles that the hub doesn't hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, both in _set_pairs(batches, n):
+            whole, common, rest = [], [], []
+            for x, y in both:
+                own = y[~np.isin(y, x, assume_unique=True)]
+                whole.append(len(y)), common.append(len(y) - len(own)), rest.append(own.astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(whole, pa.int64()), pa.array(common, pa.int64()), pa.array(rest, pa.list_(pa.int64()))], names=["hub", "id", "whole", "common", "rest"])
+
+    return _with_texts(members, texts, "hub", "id").mapInArrow(run, "hub long, id long, whole long, common long, rest array<long>")
+
+
+def _with_texts(pairs: DataFrame, texts: DataFrame, a: str, b: str) -> DataFrame:
+    """(a, b, text of a, text of b), the pairs of one a side by side; texts are zstd-compressed."""
+    wanted = texts.select("id", "packed")
+    joined = pairs.select(a, b).join(wanted.select(F.col("id").alias(b), F.col("packed").alias("y")), b)
+    return joined.join(wanted.select(F.col("id").alias(a), F.col("packed").alias("x")), a).select(a, b, "x", "y")
+
+
+def _set_pairs(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, Iterator[tuple[np.ndarray, np.ndarray]]]]:
+    """Each batch of _with_texts with the full sets of its rows; an a's set is made once for the rows that follow."""
+    open_ = zstandard.ZstdDecompressor().decompress
+    held: tuple[int | None, np.ndarray | None] = (None, None)
+
+    def full(packed: bytes) -> np.ndarray:
+        return next(_sets(pa.RecordBatch.from_arrays([pa.array([open_(packed)], pa.binary())], names=["t"]), 0, n))
+
+    def rows(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        nonlocal held
+        for i, left, right in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            if held[0] != i:
+                held = (i, full(left.as_py()))
+            yield held[1], full(right.as_py())
+
+    for batch in batches:
+        yield batch, rows(batch)
+
+
+def _packed(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, packed) of the texts with those ids, one a row id, zstd-compressed before they are moved."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([squeeze((t or "").encode()) for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "packed"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("__text")).filter("id is not null")
+    return texts.mapInArrow(run, "id long, packed binary").join(ids.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
 
 
 def _pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
@@ -177,60 +192,94 @@ def _mixed(placed: DataFrame) -> DataFrame:
     return placed.groupBy("value").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low != high").select("value")
 
 
+def _possible(seen: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that can still link, of members seen(hub, id, whole, common, rest, c, loose) of one hub and different
+    components, one of them loose at least. Nothing that can link is left out.
+
+    Two members share at most the lesser of their parts in common with the hub, and what they share of their rests.
+    Pairs that share nothing of their rests are tried by classes of (whole, common), of which there are few however
+    many members there are. Others meet on a shingle of their rests: a member that holds `common` of the hub must
+    share at least percent% of itself less `common` with its partner's rest, so only that many less of its rarest
+    rest shingles, rarest within the hub's members, are indexed; where two meet, what follows in both bounds the rest.
+    """
+    need = lambda x, y: percent * (F.col(x) + F.col(y))  # noqa: E731  (100 + percent) * intersection is that at least
+    both = 100 + percent
+    side = lambda df, tag, *more: df.select("hub", *[F.col(c).alias(f"{c}{tag}") for c in ("whole", "common", *more)])
+    # no common rest: by classes
+    classes = seen.groupBy("hub", "whole", "common").agg(F.max("loose").alias("loose"))
+    close = F.least("common_x", "common_y") * both >= need("whole_x", "whole_y")
+    met = side(classes.filter("loose"), "_x").join(side(classes, "_y"), "hub").filter(close)
+    bare = met.join(side(seen.filter("loose"), "_x", "id", "c"), ["hub", "whole_x", "common_x"]).join(side(seen, "_y", "id", "c"), ["hub", "whole_y", "common_y"])
+    bare = bare.filter("c_x != c_y").select(F.col("id_x").alias("x"), F.col("id_y").alias("y"))
+    # a common rest: by its shingles
+    tokens = seen.select("hub", "id", F.explode("rest").alias("token"))
+    often = tokens.groupBy("hub", "token").agg(F.count("*").alias("df")).filter("df > 1")
+    order = tokens.join(often, ["hub", "token"]).groupBy("hub", "id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("by"))
+    shared = seen.drop("rest").join(order, ["hub", "id"]).withColumn("many", F.size("by"))
+    least = F.greatest(F.lit(1), F.ceil(F.col("whole") * percent / 100 - 1e-9) - F.col("common"))
+    shared = shared.withColumn("take", (F.col("many") - least + 1).cast("int")).filter("take > 0")
+    shared = shared.select("hub", "id", "whole", "common", "c", "loose", "many", F.posexplode(F.expr("slice(by, 1, take)")).alias("at", "t")).withColumn("token", F.col("t.token"))
+    x = shared.filter("loose").select("hub", "token", *[F.col(c).alias(f"{c}_x") for c in ("id", "whole", "common", "c", "many", "at")])
+    y = shared.select("hub", "token", *[F.col(c).alias(f"{c}_y") for c in ("id", "whole", "common", "c", "many", "at")])
+    left = F.least(F.col("many_x") - F.col("at_x"), F.col("many_y") - F.col("at_y"))
+    alike = (F.least("common_x", "common_y") + left) * both >= need("whole_x", "whole_y")
+    rich = x.join(y, ["hub", "token"]).filter(F.expr("c_x != c_y") & alike).select(F.col("id_x").alias("x"), F.col("id_y").alias("y"))
+    return _pairs(bare.unionByName(rich), "x", "y").distinct()
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs.
 
     component_id is the smallest id reachable over links of likeness percent/100 or more, kept whether it is the
     row's own. A null or empty text, or one of separators only, has n_shingles 0 and links with nothing. Rows of one
-    id count as one document; a null id links with nothing (component_id null, kept true).
+    id count as one document; a null id links with nothing (component_id null, kept true). Other columns of docs,
+    whatever their names, are not read; an empty table gives none.
     """
     likeness = percent / 100
-    seen = cut(sketches(docs, n, k, id_col, text_col), "sketches")
+    drawn = cut(sketches(docs, n, k, id_col, text_col), "sketches")
+    seen = cut(drawn.select("doc_id", "n_shingles", "set_id"), "sizes")
     named = seen.filter("set_id is not null and doc_id is not null")
     groups = named.groupBy("set_id").agg(F.min("doc_id").alias("id"))
     same = named.select("doc_id", "set_id").join(groups, "set_id").filter("doc_id != id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    sets = cut(named.join(groups.withColumnRenamed("id", "doc_id"), ["set_id", "doc_id"]).dropDuplicates(["set_id"]).select(F.col("doc_id").alias("id"), "sketch", F.col("n_shingles").alias("whole")), "sets")
+    first = named.join(groups.withColumnRenamed("id", "doc_id"), ["set_id", "doc_id"]).dropDuplicates(["set_id"]).select("doc_id", "set_id")
+    sets = cut(drawn.join(first, ["doc_id", "set_id"]).dropDuplicates(["set_id"]).select(F.col("doc_id").alias("id"), "sketch", F.col("n_shingles").alias("whole")), "sets")
+    drop_cut(drawn)
     lists = cut(_lists(sets, k, likeness), "lists")
     hubs = lists.groupBy("value").agg(F.max(F.struct("weight", -F.col("id"))).alias("m"), F.count("*").alias("n")).filter("n > 1")
-    tagged = lists.select("value", "id", "whole").join(hubs.select("value", (-F.col("m.col2")).alias("hub"), "n"), "value")
-    tagged = cut(tagged, "tagged")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    tagged = cut(lists.select("value", "id", "whole").join(hubs.select("value", (-F.col("m.col2")).alias("hub"), "n"), "value"), "tagged")
+    drop_cut(lists)
+    texts = cut(_packed(docs, tagged, id_col, text_col), "texts")
+    high = _floor(k, likeness)
 
-    high, low = _floor(k, likeness), _floor(k, max(0.0, 2 * likeness - 1))  # two links apart, sets are that like still
     # 1: each sketch against the hub of its longest list
     one = tagged.groupBy("id").agg(F.max(F.struct("n", "value", "hub")).alias("m")).select("id", F.col("m.hub").alias("hub")).filter("id != hub")
-    near = cut(_estimated(_pairs(one, "id", "hub"), sets, k, low), "pairs")
-    tried, links = near.select("a", "b"), cut(_verified(near.filter(F.col("e") >= high), texts, n, percent), "links")
+    tried = cut(_estimated(_pairs(one, "id", "hub").distinct(), sets, k, 0), "pairs")
+    links = cut(_verified(tried.filter(F.col("e") >= high), texts, n, percent), "links")
 
     # 2: lists that still hold several components: all pairs across them in short ones, the hub's in longer ones
     placed = _placed(tagged, links)
     open_ = cut(placed.join(_mixed(placed), "value"), "open")
+    drop_cut(tagged)
     alike = 100 * F.least("whole", "size") >= percent * F.greatest("whole", "size")  # sets of other sizes can't link
     short = open_.filter(F.col("n") <= SHORT).select("value", "id", "c", "whole")
     pairs = short.join(short.select("value", F.col("id").alias("other"), F.col("c").alias("oc"), F.col("whole").alias("size")), "value").filter(F.expr("id < other and c != oc") & alike)
     pairs = _pairs(pairs, "id", "other").unionByName(_pairs(open_.filter((F.col("n") > SHORT) & (F.col("c") != F.col("hc"))), "id", "hub"))
-    near = cut(_estimated(pairs.distinct().join(tried, ["a", "b"], "left_anti"), sets, k, low), "pairs")
-    links, tried = cut(links.unionByName(_verified(near.filter(F.col("e") >= high), texts, n, percent)), "links"), tried.unionByName(near.select("a", "b"))
-
-    # 3: members of longer lists that their hub doesn't link: against each other, and, unless they are too far from
-    # the hub to link with what it links (likeness is a metric), against its links
-    long_ = _placed(open_.filter(F.col("n") > SHORT).select("value", "id", "whole", "hub", "n"), links)
-    long_ = long_.join(_mixed(long_), "value")
-    linked = links.select("a", "b", F.lit(True).alias("linked"))
-    long_ = long_.withColumn("a", F.least("id", "hub")).withColumn("b", F.greatest("id", "hub")).join(linked, ["a", "b"], "left").join(tried.select("a", "b", F.lit(True).alias("tried")), ["a", "b"], "left")
-    long_ = cut(long_.select("value", "id", "whole", "c", (F.coalesce("linked", F.lit(False)) | (F.col("id") == F.col("hub"))).alias("direct"), F.coalesce("tried", F.lit(False)).alias("close")), "open")
-    long_ = long_.join(_bitmaps(sets), "id")
-    names = [f"b{j}" for j in range(BITS)]
-    loose = long_.filter("not direct").select("value", F.col("id").alias("x"), F.col("c").alias("cx"), "whole", "close", "spare", *names)
-    other = long_.select("value", F.col("id").alias("y"), F.col("c").alias("cy"), F.col("whole").alias("size"), "direct", F.col("spare").alias("ospare"), *[F.col(b).alias(f"o{b}") for b in names])
-    # r shared values share r bits at least, less those that fall together within a sketch
-    need = F.least(F.lit(required(k, likeness)), F.ceil(F.least("whole", "size") * likeness)) - F.least("spare", "ospare")
-    common = sum((F.bit_count(F.col(b).bitwiseAND(F.col(f"o{b}"))) for b in names), F.lit(0))
-    more = loose.join(other, "value").filter(F.expr("cx != cy and (direct and close or not direct and x < y)") & alike & (common >= need))
-    more = cut(_estimated(_pairs(more, "x", "y").distinct().join(tried, ["a", "b"], "left_anti"), sets, k, high), "pairs")
-    if more.limit(1).count():
-        links = links.unionByName(_verified(more, texts, n, percent))
-    whole = components(links.unionByName(same))
+    near = cut(_estimated(pairs.distinct().join(tried, ["a", "b"], "left_anti"), sets, k, high), "pairs")
+    more = cut(links.unionByName(_verified(near, texts, n, percent)), "links")
+    drop_cut(tried, near, links)
+    links = more
+
+    # 3: members of longer lists that their hub doesn't reach, against the hub's other members: full sets relative to
+    # the hub's tell which of them can link at all
+    placed = _placed(open_.filter(F.col("n") > SHORT).select("value", "id", "whole", "hub", "n"), links)
+    members = cut(placed.join(_mixed(placed), "value").filter("id != hub").select("hub", "id", "c", (F.col("c") != F.col("hc")).alias("loose")).distinct(), "members")
+    drop_cut(open_)
+    relative = cut(_relative(members, texts, n).join(members, ["hub", "id"]), "relative")
+    far = cut(_estimated(_possible(relative, percent), sets, k, high), "pairs")
+    more = cut(links.unionByName(_verified(far, texts, n, percent)), "links")
+    drop_cut(far, relative, members, links, texts, sets)
+
+    whole = components(more.unionByName(same))
     out = seen.select("doc_id", "n_shingles").join(whole.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
