@@ -29,6 +29,8 @@ from greenwake.session import cut, drop_cut, ship
 
 K = 64
 SHORT = 6
+#: Further hubs that a list takes from among the members that no hub of theirs reaches.
+LEADERS = 1
 
 
 def _sets(batch: pa.RecordBatch, column: int, n: int) -> Iterator[np.ndarray]:
@@ -78,15 +80,16 @@ def _postings(sets: DataFrame) -> DataFrame:
 
 def _lists(sets: DataFrame, k: int, likeness: float) -> DataFrame:
     """(value, id, whole, weight) of each sketch's rarest values, those that a single sketch holds left out; whole is the
-    full set's size, weight says how common the sketch's values are altogether, which is highest for the text that copies were made from."""
+    full set's size, weight counts its values that are as common as this one or more, which is highest for the text that copies were made from."""
     postings = _postings(sets)
     held = postings.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
     shared = postings.join(held, "value").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("by"))
     shared = shared.join(sets.select("id", "whole"), "id").withColumn("size", F.least(F.col("whole"), F.lit(k)))
     prefix = F.col("size") - F.least(F.lit(required(k, likeness)), F.ceil(F.col("size") * likeness - 1e-9)) + 1
     take = prefix - (F.col("size") - F.size("by"))
-    weight = F.aggregate("by", F.lit(0).cast("long"), lambda a, x: a + x["df"])
-    return shared.withColumn("take", take.cast("int")).filter("take > 0").select(F.explode(F.expr("slice(by, 1, take)")).alias("x"), "id", "whole", weight.alias("weight")).select("x.value", "id", "whole", "weight")
+    central = F.col("size") - F.col("at") - (F.col("size") - F.col("many"))
+    taken = shared.withColumn("take", take.cast("int")).filter("take > 0").select("id", "whole", "size", F.size("by").alias("many"), F.posexplode(F.expr("slice(by, 1, take)")).alias("at", "x"))
+    return taken.select("x.value", "id", "whole", central.cast("long").alias("weight"))
 
 
 def _estimated(pairs: DataFrame, sets: DataFrame, k: int, floor: float) -> DataFrame:
@@ -183,13 +186,21 @@ def _pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
 def _placed(tagged: DataFrame, links: DataFrame) -> DataFrame:
     """tagged with the components of the member (c) and of its list's hub (hc)."""
     where = components(links).select(F.col("node").alias("id"), F.col("component").alias("c"))
-    out = tagged.join(where, "id", "left").join(where.select(F.col("id").alias("hub"), F.col("c").alias("hc")), "hub", "left")
-    return out.select("value", "id", "whole", "hub", "n", F.coalesce("c", "id").alias("c"), F.coalesce("hc", "hub").alias("hc"))
+    out = tagged.drop("c", "hc").join(where, "id", "left").join(where.select(F.col("id").alias("hub"), F.col("c").alias("hc")), "hub", "left")
+    return out.withColumn("c", F.coalesce("c", "id")).withColumn("hc", F.coalesce("hc", "hub"))
 
 
-def _mixed(placed: DataFrame) -> DataFrame:
+def _open(placed: DataFrame) -> DataFrame:
     """The lists that hold several components."""
-    return placed.groupBy("value").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low != high").select("value")
+    return placed.join(placed.groupBy("value").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low != high").select("value"), "value")
+
+
+def _more(links: DataFrame, pairs: DataFrame, sets: DataFrame, texts: DataFrame, n: int, percent: int, k: int, high: float) -> tuple[DataFrame, DataFrame]:
+    """links (which go) and what pairs add to them, and the pairs whose estimate was high enough to be verified."""
+    near = cut(_estimated(pairs, sets, k, high), "pairs")
+    more = cut(links.unionByName(_verified(near, texts, n, percent)), "links")
+    drop_cut(links)
+    return more, near
 
 
 def _possible(seen: DataFrame, percent: int) -> DataFrame:
@@ -246,7 +257,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, k: int = K,
     drop_cut(drawn)
     lists = cut(_lists(sets, k, likeness), "lists")
     hubs = lists.groupBy("value").agg(F.max(F.struct("weight", -F.col("id"))).alias("m"), F.count("*").alias("n")).filter("n > 1")
-    tagged = cut(lists.select("value", "id", "whole").join(hubs.select("value", (-F.col("m.col2")).alias("hub"), "n"), "value"), "tagged")
+    tagged = cut(lists.join(hubs.select("value", (-F.col("m.col2")).alias("hub"), "n"), "value"), "tagged")
     drop_cut(lists)
     texts = cut(_packed(docs, tagged, id_col, text_col), "texts")
     high = _floor(k, likeness)
@@ -256,30 +267,34 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, k: int = K,
     tried = cut(_estimated(_pairs(one, "id", "hub").distinct(), sets, k, 0), "pairs")
     links = cut(_verified(tried.filter(F.col("e") >= high), texts, n, percent), "links")
 
-    # 2: lists that still hold several components: all pairs across them in short ones, the hub's in longer ones
-    placed = _placed(tagged, links)
-    open_ = cut(placed.join(_mixed(placed), "value"), "open")
+    # 2: lists that still hold several components: all pairs across them in short ones, the hub's in longer ones; then
+    # the members of longer ones that no hub of theirs reaches take a further hub from among themselves, some times over
+    open_ = cut(_open(_placed(tagged.withColumn("led", F.col("id") == F.col("hub")), links)), "open")
     drop_cut(tagged)
     alike = 100 * F.least("whole", "size") >= percent * F.greatest("whole", "size")  # sets of other sizes can't link
     short = open_.filter(F.col("n") <= SHORT).select("value", "id", "c", "whole")
     pairs = short.join(short.select("value", F.col("id").alias("other"), F.col("c").alias("oc"), F.col("whole").alias("size")), "value").filter(F.expr("id < other and c != oc") & alike)
     pairs = _pairs(pairs, "id", "other").unionByName(_pairs(open_.filter((F.col("n") > SHORT) & (F.col("c") != F.col("hc"))), "id", "hub"))
-    near = cut(_estimated(pairs.distinct().join(tried, ["a", "b"], "left_anti"), sets, k, high), "pairs")
-    more = cut(links.unionByName(_verified(near, texts, n, percent)), "links")
-    drop_cut(tried, near, links)
-    links = more
+    links, near = _more(links, pairs.distinct().join(tried, ["a", "b"], "left_anti"), sets, texts, n, percent, k, high)
+    drop_cut(tried, near)
+    open_, before = cut(_open(_placed(open_.filter(F.col("n") > SHORT), links)), "open"), open_
+    drop_cut(before)
+    for _ in range(LEADERS):
+        free = open_.join(open_.filter("led").select("value", "c").distinct(), ["value", "c"], "left_anti")
+        lead = free.groupBy("value").agg((-F.max(F.struct("weight", -F.col("id")))["col2"]).alias("lead"))
+        links, near = _more(links, _pairs(free.join(lead, "value").filter("id != lead"), "id", "lead").distinct(), sets, texts, n, percent, k, high)
+        open_, before = cut(_open(_placed(open_.join(lead, "value", "left").withColumn("led", F.col("led") | F.coalesce(F.col("id") == F.col("lead"), F.lit(False))).drop("lead"), links)), "open"), open_
+        drop_cut(before, near)
 
     # 3: members of longer lists that their hub doesn't reach, against the hub's other members: full sets relative to
     # the hub's tell which of them can link at all
-    placed = _placed(open_.filter(F.col("n") > SHORT).select("value", "id", "whole", "hub", "n"), links)
-    members = cut(placed.join(_mixed(placed), "value").filter("id != hub").select("hub", "id", "c", (F.col("c") != F.col("hc")).alias("loose")).distinct(), "members")
+    members = cut(open_.filter("id != hub").select("hub", "id", "c", (F.col("c") != F.col("hc")).alias("loose")).distinct(), "members")
     drop_cut(open_)
     relative = cut(_relative(members, texts, n).join(members, ["hub", "id"]), "relative")
-    far = cut(_estimated(_possible(relative, percent), sets, k, high), "pairs")
-    more = cut(links.unionByName(_verified(far, texts, n, percent)), "links")
-    drop_cut(far, relative, members, links, texts, sets)
+    links, far = _more(links, _possible(relative, percent), sets, texts, n, percent, k, high)
+    drop_cut(far, relative, members, texts, sets)
 
-    whole = components(more.unionByName(same))
+    whole = components(links.unionByName(same))
     out = seen.select("doc_id", "n_shingles").join(whole.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
