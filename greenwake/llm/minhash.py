@@ -31,6 +31,8 @@ K = 64
 SHORT = 6
 #: Further hubs that a list takes from among the members that no hub of theirs reaches.
 LEADERS = 1
+#: Estimated likeness to a hub from which a member counts as near, and up to which as far.
+NEAR, FAR = 0.15, 0.6
 
 
 def _sets(batch: pa.RecordBatch, column: int, n: int) -> Iterator[np.ndarray]:
@@ -203,6 +205,17 @@ def _more(links: DataFrame, pairs: DataFrame, sets: DataFrame, texts: DataFrame,
     return more, near
 
 
+def _met(rows: DataFrame, k: int, likeness: float) -> DataFrame:
+    """Pairs (a, b) of rows(value, id, c, whole, weight) that meet in a list, unless they are of one component, their
+    sizes rule a link out, or too few of their values are as common as the list's for it to be the rarest they share."""
+    x, y = (rows.select("value", *[F.col(c).alias(f"{c}_{tag}") for c in ("id", "c", "whole", "weight")]) for tag in "xy")
+    small, large = F.least("whole_x", "whole_y"), F.greatest("whole_x", "whole_y")
+    part = likeness / (1 + likeness) * (1 + small / large)  # of the larger set
+    shown = F.when(large <= k, part * large).otherwise(k * part - 5 * F.sqrt(k * part * (1 - part)))
+    fits = (small >= likeness * large - 1e-9) & (F.least("weight_x", "weight_y") >= F.least(shown, small) - 1e-9)
+    return _pairs(x.join(y, "value").filter(F.expr("id_x < id_y and c_x != c_y") & fits), "id_x", "id_y").distinct()
+
+
 def _possible(seen: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that can still link, of members seen(hub, id, whole, common, rest, c, loose) of one hub and different
     components, one of them loose at least. Nothing that can link is left out.
@@ -271,10 +284,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, k: int = K,
     # the members of longer ones that no hub of theirs reaches take a further hub from among themselves, some times over
     open_ = cut(_open(_placed(tagged.withColumn("led", F.col("id") == F.col("hub")), links)), "open")
     drop_cut(tagged)
-    alike = 100 * F.least("whole", "size") >= percent * F.greatest("whole", "size")  # sets of other sizes can't link
-    short = open_.filter(F.col("n") <= SHORT).select("value", "id", "c", "whole")
-    pairs = short.join(short.select("value", F.col("id").alias("other"), F.col("c").alias("oc"), F.col("whole").alias("size")), "value").filter(F.expr("id < other and c != oc") & alike)
-    pairs = _pairs(pairs, "id", "other").unionByName(_pairs(open_.filter((F.col("n") > SHORT) & (F.col("c") != F.col("hc"))), "id", "hub"))
+    pairs = _met(open_.filter(F.col("n") <= SHORT), k, likeness).unionByName(_pairs(open_.filter((F.col("n") > SHORT) & (F.col("c") != F.col("hc"))), "id", "hub"))
     links, near = _more(links, pairs.distinct().join(tried, ["a", "b"], "left_anti"), sets, texts, n, percent, k, high)
     drop_cut(tried, near)
     open_, before = cut(_open(_placed(open_.filter(F.col("n") > SHORT), links)), "open"), open_
@@ -286,13 +296,16 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, k: int = K,
         open_, before = cut(_open(_placed(open_.join(lead, "value", "left").withColumn("led", F.col("led") | F.coalesce(F.col("id") == F.col("lead"), F.lit(False))).drop("lead"), links)), "open"), open_
         drop_cut(before, near)
 
-    # 3: members of longer lists that their hub doesn't reach, against the hub's other members: full sets relative to
-    # the hub's tell which of them can link at all
-    members = cut(open_.filter("id != hub").select("hub", "id", "c", (F.col("c") != F.col("hc")).alias("loose")).distinct(), "members")
-    drop_cut(open_)
-    relative = cut(_relative(members, texts, n).join(members, ["hub", "id"]), "relative")
-    links, far = _more(links, _possible(relative, percent), sets, texts, n, percent, k, high)
-    drop_cut(far, relative, members, texts, sets)
+    # 3: members of longer lists that their hub doesn't reach, against the hub's other members. Likeness being a metric,
+    # two that link are both near to the hub or both far from it (the bounds overlap by more than the estimates' errors).
+    # Near ones: full sets relative to the hub's tell which can link at all. Far ones: pairs of a list.
+    members = open_.filter("id != hub").select("hub", "id", "c", (F.col("c") != F.col("hc")).alias("loose")).distinct()
+    members = cut(_estimated(members.select(F.col("hub").alias("a"), F.col("id").alias("b")), sets, k, 0).withColumnsRenamed({"a": "hub", "b": "id"}).join(members, ["hub", "id"]), "members")
+    relative = cut(_relative(members.filter(F.col("e") >= NEAR), texts, n).join(members.drop("e"), ["hub", "id"]), "relative")
+    far = open_.join(members.filter((F.col("e") < FAR) & F.col("loose")).select("hub", "id"), ["hub", "id"]).select("value", "id", "c", "whole", "weight")
+    pairs = _possible(relative, percent).unionByName(_met(far, k, likeness)).distinct()
+    links, last = _more(links, pairs, sets, texts, n, percent, k, high)
+    drop_cut(open_, last, relative, members, texts, sets)
 
     whole = components(links.unionByName(same))
     out = seen.select("doc_id", "n_shingles").join(whole.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
