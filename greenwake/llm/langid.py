@@ -2,13 +2,12 @@
 
 One byte context tree a language, orders 0 to 3, escape method C with exclusion, statistics frozen after
 fitting. A text's score under a language is its exact code length; the shortest wins. Bytes that no training text
-holds share one symbol. The trees are fitted on at most `max_texts` texts a language and keep at most `max_grams`
-4-byte grams a language, and those bounds alone limit the model that is broadcast.
+holds share one symbol. The trees are fitted on at most `max_texts` whole texts a language, the bound on what the driver
+gathers; it unrolls them once, a language after the other, and broadcasts the finished single-precision tables.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ _MADE = ("lang_pred", "score", "bits_per_byte")
 _LETTER = regex.compile(r"\p{L}")
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", max_texts: int = 600, max_grams: int = 40_000) -> dict:
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", max_texts: int = 600) -> dict:
     """Frozen counts {'langs', 'grams', 'counts'}: 4-byte grams of labelled texts a language.
 
     The texts of a language are those of the smallest xxhash64 of their key; rows whose language or text is null
@@ -34,8 +33,12 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", k
     """
     ship(labelled.sparkSession)
     rows = labelled.select(F.xxhash64(F.col(key_col).cast("string")).alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null and text != ''")
-    cut = rows.select("lang", "h").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= max_texts).groupBy("lang").agg(F.max("h").alias("top"))
-    sample = rows.join(F.broadcast(cut), "lang").filter("h <= top").select("lang", "text")
+    # the smallest hashes of a language by way of those of its parts, as one language may hold most rows
+    few = rows.select("lang", "h").withColumn("part", F.pmod(F.col("h"), F.lit(PARTS)))
+    for keys in (["lang", "part"], ["lang"]):
+        few = few.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("h"))).filter(F.col("r") <= max_texts).drop("r")
+    top = few.groupBy("lang").agg(F.max("h").alias("top"))
+    sample = rows.join(F.broadcast(top), "lang").filter("h <= top").select("lang", "text")  # a row a language
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -49,9 +52,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", k
                 g, n = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g)), pa.array(g.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
-    counted = sample.mapInArrow(grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    kept = counted.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= max_grams).select("lang", "gram", "n").toPandas()
+    kept = sample.mapInArrow(grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(kept["lang"].unique())
     all_grams = np.sort(kept["gram"].unique()).astype(np.uint32)
     counts = np.zeros((len(langs), len(all_grams)), dtype=np.int32)
@@ -62,59 +63,58 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", k
 
 
 class Trees:
-    """The context trees of a model, unrolled to one row of code lengths (bits) for each kept context."""
+    """The context trees of a model, unrolled to one row of code lengths (bits) for each context."""
 
     def __init__(self, model: dict):
         self.langs = model["langs"]
-        grams, counts = model["grams"], model["counts"].astype(np.float64)
-        k = len(self.langs)
+        grams = model["grams"]
         b = np.stack([(grams >> s) & 0xFF for s in (24, 16, 8, 0)]).astype(np.int64)
         seen = np.zeros(256, dtype=bool)
         seen[np.unique(b)] = True
         self.symbol = np.full(256, seen.sum(), dtype=np.int32)
         self.symbol[seen] = np.arange(seen.sum())
-        unseen = max(1, 256 - int(seen.sum()))
+        self.unseen = max(1, 256 - int(seen.sum()))  # bytes that share the last symbol
         size = self.size = int(seen.sum()) + 1
         s = self.symbol[b].astype(np.int64)
-        base = np.full(size, 1 / 256)
-        base[-1] = unseen / 256
-        tables = [np.broadcast_to(base, (k, 1, size))]
-        keys_of = [np.zeros(1, np.int64)]
+        keys, orders = [np.zeros(1, np.int64)], []
         for order in range(4):
             key = np.zeros(len(grams), np.int64)
             for j in range(3 - order, 3):
                 key = key * size + s[j]
             ctx, inverse = np.unique(key, return_inverse=True)
-            cell = np.zeros((k, len(ctx), size))
-            for i in range(k):
-                np.add.at(cell[i], (inverse, s[3]), counts[i])
-            parent_keys = keys_of[-1]
-            parent = np.zeros(len(ctx), np.int64) if order <= 1 else np.searchsorted(parent_keys, ctx % size ** (order - 1))
-            below = tables[-1][:, parent, :]
-            total, kinds = cell.sum(2, keepdims=True), (cell > 0).sum(2, keepdims=True)
-            hit = cell > 0
-            free = 1 - (below * hit).sum(2, keepdims=True)
-            escape = np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1.0)
-            p = np.where(hit, cell / np.maximum(total + kinds, 1), escape * below / np.maximum(free, 1e-9))
-            tables.append(p)
-            keys_of.append(ctx)
-        p2, p3 = tables[3], tables[4]
-        two, three = keys_of[3], keys_of[4]
-        row = np.full(size**3, -1, np.int32)
-        # a context of order 3 that no tree holds falls to its last two bytes, then to the last one, then to none
-        tail = np.full(size**2, -1, np.int32)
-        tail[two] = np.arange(len(two))
+            parent = np.zeros(len(ctx), np.int64) if order <= 1 else np.searchsorted(keys[-1], ctx % size ** (order - 1))
+            orders.append((len(ctx), inverse.ravel(), parent))
+            keys.append(ctx)
+        # rows: contexts of order 2, of order 1, the empty one, then those of order 3; a context of order 3 that no tree
+        # holds falls to its last two bytes, then to the last one, then to none
+        two, three = keys[3], keys[4]
         ones = np.full(size, -1, np.int32)
-        ones[keys_of[2]] = len(two) + np.arange(len(keys_of[2]))
-        none = len(two) + len(keys_of[2])
+        ones[keys[2]] = len(two) + np.arange(len(keys[2]))
+        none = len(two) + len(keys[2])
         ones[ones < 0] = none
+        tail = np.full(size**2, -1, np.int32)
+        tail[two] = np.arange(len(two))
         tail = np.where(tail < 0, np.tile(ones, size), tail)
-        row = np.tile(tail, size)
-        row[three] = none + 1 + np.arange(len(three))
-        self.row = row
-        probability = np.concatenate([p2, tables[2], tables[1], p3], axis=1).reshape(k, -1)
-        probability = probability / np.concatenate([np.ones(size - 1), [unseen]])[np.arange(probability.shape[1]) % size]
-        self.bits = -np.log2(np.maximum(probability, 2.0**-40)).astype(np.float32)
+        self.row = np.tile(tail, size)
+        self.row[three] = none + 1 + np.arange(len(three))
+        self.bits = np.stack([self._unrolled(counts, s[3], orders) for counts in model["counts"]])
+
+    def _unrolled(self, counts: np.ndarray, last: np.ndarray, orders: list) -> np.ndarray:
+        """One language's code lengths, flat: escape method C, symbols seen in a context left out of what it escapes to."""
+        below = np.full((1, self.size), 1 / 256)
+        below[0, -1] = self.unseen / 256
+        tables = []
+        for n, inverse, parent in orders:
+            cell = np.bincount(inverse * self.size + last, weights=counts, minlength=n * self.size).reshape(n, self.size)
+            hit, below = cell > 0, below[parent]
+            both = cell.sum(1, keepdims=True) + hit.sum(1, keepdims=True)
+            free = 1 - (below * hit).sum(1, keepdims=True)
+            escape = np.where(both > 0, hit.sum(1, keepdims=True) / np.maximum(both, 1), 1.0)
+            below = np.where(hit, cell / np.maximum(both, 1), escape * below / np.maximum(free, 1e-9))
+            tables.append(below)
+        probability = np.concatenate([tables[2], tables[1], tables[0], tables[3]])
+        probability[:, -1] /= self.unseen
+        return -np.log2(np.maximum(probability, 2.0**-40)).astype(np.float32).ravel()
 
     def lengths(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Code length in bits of each text (row) under each language (column)."""
@@ -143,7 +143,22 @@ class Trees:
 
 #: Bytes scored at once.
 CHUNK = 1 << 20
-_built: dict[str, Trees] = {}
+#: Parts that a language's rows are dealt to before its sample is drawn.
+PARTS = 64
+_ASCII_LETTER = np.zeros(256, dtype=bool)
+_ASCII_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+
+
+def _letters(raw: np.ndarray, at: np.ndarray, texts: pa.Array) -> np.ndarray:
+    """Whether each text holds a letter; only texts without an ASCII one are looked at as Unicode."""
+    n = np.diff(at)
+    out = np.zeros(len(n), dtype=bool)
+    some = np.flatnonzero(n > 0)
+    if len(some):
+        out[some] = np.logical_or.reduceat(_ASCII_LETTER[raw], at[some])
+    for i in np.flatnonzero(~out & (n > 0)):
+        out[i] = _LETTER.search(texts[int(i)].as_py()) is not None
+    return out
 
 
 def predict(docs: DataFrame, model: dict, text_col: str = "text", prefix: str = "") -> DataFrame:
@@ -154,18 +169,15 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text", prefix: str =
     """
     spark = docs.sparkSession
     ship(spark)
-    shared, key = spark.sparkContext.broadcast(model), uuid.uuid4().hex
+    shared = spark.sparkContext.broadcast(Trees(model) if model["langs"] else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _built and shared.value["langs"]:
-            _built.clear()
-            _built[key] = Trees(shared.value)
-        trees = _built.get(key)
+        trees = shared.value
         for batch in batches:
             texts = batch.column(at_text)
             raw, at = utf8(texts)
             n = np.diff(at)
-            letter = np.array([bool(_LETTER.search(t)) if t else False for t in texts.to_pylist()], dtype=bool)
+            letter = _letters(raw, at, texts)
             if trees is None:
                 lang, score, rate = [UNDETERMINED] * len(n), np.zeros(len(n)), np.zeros(len(n))
             else:

@@ -98,7 +98,9 @@ def pack(docs: DataFrame, capacity: int = 16_384, per_source: int = 2, size: Col
 
     size: default the text's UTF-8 bytes, null counting as 0; cluster: default the text's hash. Pieces of `capacity`
     fill a bin each; the last piece of a row (of size 0 for an empty text) is packed. A null source conflicts with
-    nothing. bin_id is unique over all groups and the same in every run.
+    nothing. Repeated rows are packed each, rows of one text into different bins; rows without an id are packed too.
+    Items are dealt by hash to groups of about GROUP and a bin holds items of one group only, so best fit looks at
+    that group's open bins. bin_id is unique over all groups and the same in every run. An empty table gives no rows.
     """
     ship(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -108,7 +110,7 @@ def pack(docs: DataFrame, capacity: int = 16_384, per_source: int = 2, size: Col
     slim = slim.withColumn("pack", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(groups)).cast("int"))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["size", "doc_id", "source"], ascending=[False, True, True], na_position="last", kind="stable")
+        group = group.sort_values(["size", "doc_id", "source", "cluster"], ascending=[False, True, True, True], na_position="last", kind="stable")
         whole = (group["size"].to_numpy() - 1).clip(0) // capacity
         rest = group["size"].to_numpy() - whole * capacity
         order = sorted(range(len(group)), key=lambda i: -rest[i])

@@ -22,6 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from greenwake.llm.names import unused
 from greenwake.llm.runindex import RunLengthIndex
 from greenwake.llm.textbytes import mix, utf8
 from greenwake.session import cut, partitions, ship
@@ -406,7 +407,8 @@ def _kept(raw: bytes, starts: bytes | None, ends: bytes | None) -> tuple[bytes,
 
 
 def digests(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """Per row: n_bytes, n_removed, n_spans and the SHA-256 of the bytes that stay."""
+    """Per row: n_bytes, n_removed, n_spans and the SHA-256 of the bytes that stay. A null or empty text has none to
+    remove, nor has a row without an id; a repeated row gives a repeated result."""
     found = spans(docs, span)
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = _squeezed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")))
@@ -426,17 +428,22 @@ def digests(docs: DataFrame, span: int = SPAN) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """docs with the repeated runs cut from their texts, n_chars made to fit; what a cut leaves of a character goes too."""
+    """docs with the repeated runs cut from their texts, n_chars made to fit; what a cut leaves of a character goes too.
+
+    A null text stays null, an empty one empty. Rows without an id stay as they are, rows of one id don't match one
+    another. Other columns, whatever their names, stay as they are; an empty table stays empty.
+    """
     found = spans(docs, span)
 
     @F.pandas_udf("string")
     def kept(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
         return pd.Series([t if not s else _kept(t.encode(), s, e)[0].decode("utf-8", "ignore") for t, s, e in zip(text, starts, ends, strict=True)], dtype=object)
 
-    found = found.toDF("__id", "__found_hash", "__starts", "__ends")
-    keyed = docs.withColumn("__text_hash", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    joined = keyed.join(found, (F.col("doc_id") == F.col("__id")) & (F.col("__text_hash") == F.col("__found_hash")), "left")
-    new = joined.withColumn("text", kept("text", "__starts", "__ends"))
+    id_, found_hash, starts, ends, text_hash = unused(docs, "id", "found_hash", "starts", "ends", "text_hash")
+    found = found.toDF(id_, found_hash, starts, ends)
+    keyed = docs.withColumn(text_hash, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    joined = keyed.join(found, (F.col("doc_id").cast("long") == F.col(id_)) & (F.col(text_hash) == F.col(found_hash)), "left")
+    new = joined.withColumn("text", kept("text", starts, ends))
     if "n_chars" in docs.columns:
-        new = new.withColumn("n_chars", F.when(F.col("__starts").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        new = new.withColumn("n_chars", F.when(F.col(starts).isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return new.select(*docs.columns)
