@@ -1,10 +1,12 @@
-"""Byte-level BPE by a bounded-lookahead streaming transducer, and the token counter built on it.
+"""Byte-level BPE by a bounded-lookahead streaming transducer, and the piece counts taken from it.
 
 The merge list alone decides how far to the right of a token's end a merge can still change that token: a
 token made by rule r stands unless some earlier rule eats a piece on the right edge of its merge tree, which
 needs that rule's right part, which again has an edge of its own. `lookahead` is the largest such sum over the
 list. A window of bytes is merged, every token that ends at least `lookahead` bytes before the window's open end
-is emitted, and the rest stays for the next window, so memory is constant however long a run without a break is.
+is emitted, and the rest stays for the next window. A text is cut into segments where a space follows another
+character, which always parts two pre-tokens, and its ids leave segment by segment; so apart from the text itself
+memory is bounded by a segment group, a window and the memory of known runs. Windows of many runs advance side by side.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ import regex
 PATTERN = r" ?\p{L}++|'(?:[stmd]|re|ve|ll)| ?[^\s\p{L}\p{N}]++| ?\p{N}++|\s+(?!\S)|\s+"
 #: Distinct pre-tokens a worker remembers; the memory is emptied when full, so results never depend on it.
 REMEMBER = 500_000
-#: Characters pre-tokenized before their distinct pre-tokens are looked up.
-GROUP = 4_000_000
+#: Characters of a segment, and of the segments whose runs the transducer takes up at once.
+SEGMENT, GROUP = 1 << 16, 1 << 20
 WINDOW = 64
 _NONE = np.uint32(0xFFFFFFFF)
 
@@ -45,6 +47,7 @@ class Transducer:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self._check(spec, path)
         chars = byte_characters()
         back = {c: b for b, c in enumerate(chars)}
         vocab = spec["model"]["vocab"]
@@ -66,8 +69,19 @@ class Transducer:
         self.window = max(WINDOW, self.lookahead + max(map(len, self.pieces)))  # so a window's first token is always stable
         self.split = regex.compile(PATTERN)
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        self.seam = None if any(regex.search(r"\s", t) for t in self.special) else regex.compile(r"(?<=\S)(?=\s)")
+        self.sizes = np.array([*map(len, self.pieces), 1], dtype=np.int64)
         self.known: dict[str, bytes] = {}
-        self.known_n: dict[str, int] = {}
+
+    @staticmethod
+    def _check(spec: dict, path: str) -> None:
+        """Refuses a file that asks for more than byte-level pre-tokens and plain merges."""
+        model, before = spec["model"], spec.get("pre_tokenizer") or {}
+        plain = spec.get("normalizer") is None and spec.get("post_processor") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
+        odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+        odd += [k for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip") if t.get(k)]
+        if not plain or model.get("type", "BPE") != "BPE" or odd or (spec.get("decoder") or {}).get("type") != "ByteLevel":
+            raise ValueError(f"{path}: not a plain byte-level BPE file {odd}")
 
     def _index(self, left: np.ndarray, right: np.ndarray, made: np.ndarray) -> None:
         """An open-addressed table from a pair of ids to (rank, product)."""
@@ -134,9 +148,9 @@ class Transducer:
             needs.append(max(mine, needs[-1] if needs else 0))
         return longest
 
-    def _merge(self, some: list[bytes]) -> tuple[bytes, list[int]]:
-        """Ids of byte strings of about one length, a string a row, all rows merged together: one row's
-        little-endian ids after the other's, and where they end."""
+    def _merge(self, some: list[bytes]) -> tuple[np.ndarray, list[int]]:
+        """Ids of byte strings of about one length, a string a row, all rows merged together: one row's ids after the
+        other's, and where they end."""
         length = np.fromiter(map(len, some), dtype=np.int64, count=len(some))
         n, width = len(some), int(length.max())
         filled = np.arange(width)[None, :] < length[:, None]
@@ -168,10 +182,10 @@ class Transducer:
                 end = ~has_right
                 rank[row[end], at[end]] = _NONE
         filled = np.arange(width)[None, :] < length[:, None]
-        return ids[filled].astype("<u4").tobytes(), (4 * np.cumsum(length)).tolist()
+        return ids[filled], np.cumsum(length).tolist()
 
     def _merge_one(self, raw: bytes) -> list[int]:
-        """Ids of one byte string; for windows and long pre-tokens, of which there are few."""
+        """Ids of one byte string, where there are few of its length."""
         ids = self.byte_id[np.frombuffer(raw, dtype=np.uint8)].tolist()
         pair, none = self.pair, len(self._made)
         rank = [pair.get(p, none) for p in zip(ids, ids[1:], strict=False)]
@@ -189,7 +203,7 @@ class Transducer:
         """Ids of one unbroken run, emitted as soon as they are stable; data may come in pieces."""
         parts, hold, ended = iter([data] if isinstance(data, bytes) else data), bytearray(), False
         while True:
-            while not ended and len(hold) < self.window:
+            while not ended and len(hold) <= self.window:
                 piece = next(parts, None)
                 if piece is None:
                     ended = True
@@ -197,35 +211,62 @@ class Transducer:
                     hold += piece
             if not hold:
                 return
-            last = ended and len(hold) <= self.window
             part = bytes(hold[: self.window])
-            done = 0
-            for i in self._merge_one(part):
-                size = len(self.pieces[i])
-                if not last and done + size + self.lookahead > len(part):
-                    break
-                yield i
-                done += size
+            ids = np.array(self._merge_one(part))
+            n, done = self._stable(ids, len(part), ended and len(hold) <= self.window)
+            yield from ids[:n].tolist()
             del hold[:done]
 
-    def learn(self, fresh: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Little-endian ids of distinct pre-tokens, each encoded once; short ones are merged side by side."""
-        by_length: dict[int, tuple[list[str], list[bytes]]] = {}
-        for word, raw in zip(fresh, map(str.encode, fresh), strict=True):
-            size = len(raw)
-            if size > 40:
-                yield word, np.fromiter(self.stream(raw), dtype="<u4").tobytes()
-                continue
-            some = by_length.setdefault(size if size < 13 else 12 + (size // 8).bit_length(), ([], []))
-            some[0].append(word)
-            some[1].append(raw)
-        for texts, raws in by_length.values():
-            for i in range(0, len(raws), 1 << 12):
-                flat, ends = self._merge(raws[i : i + (1 << 12)])
-                start = 0
-                for word, end in zip(texts[i : i + (1 << 12)], ends, strict=True):
-                    yield word, flat[start:end]
-                    start = end
+    def _stable(self, ids: np.ndarray, size: int, last: bool) -> tuple[int, int]:
+        """How many of a window's ids nothing to the window's right can change, and the bytes they cover."""
+        if last:
+            return len(ids), size
+        ends = np.cumsum(self.sizes[ids])
+        n = int(np.searchsorted(ends, size - self.lookahead, "right"))
+        return n, int(ends[n - 1])
+
+    def streamed(self, runs: list[bytes]) -> Iterator[tuple[int, np.ndarray, bool]]:
+        """(run, its next stable ids, whether they are its last) of unbroken runs, each advancing window by window."""
+        at, live = [0] * len(runs), list(range(len(runs)))
+        while live:
+            by_size: dict[int, list[int]] = {}
+            for i in live:
+                size = min(len(runs[i]) - at[i], self.window)
+                by_size.setdefault(size if size < 13 else 12 + (size // 8).bit_length(), []).append(i)
+            live = []
+            for some in by_size.values():
+                for k in range(0, len(some), 1 << 12):
+                    few = some[k : k + (1 << 12)]
+                    windows = [runs[i][at[i] : at[i] + self.window] for i in few]
+                    if len(few) < 16:
+                        merged: Iterable[np.ndarray] = (np.array(self._merge_one(w), dtype=np.uint32) for w in windows)
+                    else:
+                        flat, ends = self._merge(windows)
+                        merged = (flat[lo:hi] for lo, hi in zip([0, *ends], ends, strict=False))
+                    for i, window, ids in zip(few, windows, merged, strict=True):
+                        last = at[i] + len(window) == len(runs[i])
+                        n, done = self._stable(ids, len(window), last)
+                        at[i] += done
+                        if not last:
+                            live.append(i)
+                        yield i, ids[:n], last
+
+    def learn(self, fresh: list[str]) -> None:
+        """Puts the ids of distinct pre-tokens, streamed through the transducer, into the worker's memory."""
+        held: dict[int, list[bytes]] = {}
+        for i, ids, last in self.streamed([w.encode() for w in fresh]):
+            raw = ids.astype("<u4").tobytes()
+            if not last:
+                held.setdefault(i, []).append(raw)
+            else:
+                self.known[fresh[i]] = b"".join([*held.pop(i, ()), raw])
+
+    def count(self, runs: list[bytes]) -> np.ndarray:
+        """Number of pieces of each unbroken run; their ids are dropped window by window."""
+        out = np.zeros(len(runs), dtype=np.int64)
+        for i, ids, _ in self.streamed(runs):
+            out[i] += len(ids)
+        return out
 
     def parts(self, text: str) -> Iterator[str | int]:
         """Pre-tokens in order; a special token's string in the text comes as its id."""
@@ -239,51 +280,71 @@ class Transducer:
             at = m.end()
         yield from self.split.findall(text[at:])
 
-    def _groups(self, texts: Iterable[str]) -> Iterator[list[list[str | int]]]:
-        """Pre-tokens of some texts at a time, about GROUP characters."""
+    def segments(self, text: str) -> Iterator[str]:
+        """Pieces of a text that no pre-token and no special token reaches across, of about SEGMENT characters."""
+        at = 0
+        while self.seam is not None and len(text) - at > SEGMENT and (m := self.seam.search(text, at + SEGMENT)):
+            yield text[at : m.start()]
+            at = m.start()
+        yield text[at:]
+
+    def _emitted(self, group: list[tuple[int, list[str | int], bool]]) -> Iterator[tuple[int, bytes, bool]]:
+        distinct = set().union(*(parts for _, parts, _ in group))
+        fresh = [p for p in distinct if p not in self.known]
+        if len(self.known) + len(fresh) > REMEMBER:
+            self.known.clear()
+            fresh = list(distinct)
+        self.known.update((p, p.to_bytes(4, "little")) for p in fresh if not isinstance(p, str))
+        self.learn([p for p in fresh if isinstance(p, str)])
+        for i, parts, last in group:
+            yield i, b"".join(map(self.known.__getitem__, parts)), last
+
+    def encode_stream(self, texts: Iterable[str]) -> Iterator[tuple[int, bytes, bool]]:
+        """(text's number, its next ids as little-endian unsigned 32-bit integers, whether they are its last) in order."""
         group, size = [], 0
-        for text in texts:
-            group.append(list(self.parts(text)))
-            size += len(text)
-            if size >= GROUP:
-                yield group
-                group, size = [], 0
+        for i, text in enumerate(texts):
+            done = 0
+            for segment in self.segments(text):
+                done += len(segment)
+                group.append((i, list(self.parts(segment)), done == len(text)))
+                size += len(segment)
+                if size >= GROUP:
+                    yield from self._emitted(group)
+                    group, size = [], 0
         if group:
-            yield group
-
-    def _recall(self, known: dict, group: list[list[str | int]], keep, special) -> dict:
-        """The worker's memory with every distinct pre-token of the group in it."""
-        distinct = set().union(*group)
-        fresh = [p for p in distinct if p not in known]
-        if len(known) + len(fresh) > REMEMBER:
-            known.clear()
-            fresh = list(distinct)
-        known.update((p, special(p)) for p in fresh if not isinstance(p, str))
-        known.update((w, keep(ids)) for w, ids in self.learn([p for p in fresh if isinstance(p, str)]))
-        return known
+            yield from self._emitted(group)
 
     def encode_batch(self, texts: Iterable[str]) -> Iterator[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
-        for group in self._groups(texts):
-            known = self._recall(self.known, group, lambda ids: ids, lambda p: p.to_bytes(4, "little"))
-            for part in group:
-                yield b"".join(map(known.__getitem__, part))
-
-    def count_batch(self, texts: Iterable[str]) -> Iterator[int]:
-        """Each text's number of ids: the pieces of a distinct pre-token are counted once, then joined to the
-        texts' pre-token frequencies and summed; no ids are kept."""
-        for group in self._groups(texts):
-            known = self._recall(self.known_n, group, lambda ids: len(ids) // 4, lambda _: 1)
-            for part in group:
-                yield sum(map(known.__getitem__, part))
+        """Each text's ids whole, as little-endian unsigned 32-bit integers."""
+        held = []
+        for _, ids, last in self.encode_stream(texts):
+            held.append(ids)
+            if last:
+                yield b"".join(held)
+                held = []
+
+    def decoder(self) -> Decoder:
+        """A fresh decoder of this file's ids."""
+        return Decoder(self.pieces)
 
     def decode(self, ids: np.ndarray | list[int]) -> str:
-        """Text of ids, by an incremental byte-to-text state machine; ill-formed bytes give U+FFFD."""
-        machine, out = codecs.getincrementaldecoder("utf-8")(errors="replace"), []
-        for i in range(0, len(ids), 4096):
-            out.append(machine.decode(b"".join(map(self.pieces.__getitem__, np.asarray(ids[i : i + 4096]).tolist()))))
-        out.append(machine.decode(b"", True))
-        return "".join(out)
+        """Text of ids."""
+        machine = self.decoder()
+        return "".join([*(machine.feed(ids[i : i + 4096]) for i in range(0, len(ids), 4096)), machine.end()])
+
+
+class Decoder:
+    """The incremental byte-to-text state machine: it holds the bytes of a character that is not whole yet, and gives
+    U+FFFD for ill-formed ones."""
+
+    def __init__(self, pieces: list[bytes]):
+        self._pieces, self._machine = pieces, codecs.getincrementaldecoder("utf-8")(errors="replace")
+
+    def feed(self, ids: np.ndarray | list[int]) -> str:
+        return self._machine.decode(b"".join(map(self._pieces.__getitem__, np.asarray(ids).tolist())))
+
+    def end(self) -> str:
+        return self._machine.decode(b"", True)
 
 
 _loaded: dict[str, Transducer] = {}
