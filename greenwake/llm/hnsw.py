@@ -1,11 +1,12 @@
 """Embedding near-dedup over hierarchical navigable small-world graphs, one a shard (operator 4).
 
-Vectors are dealt to shards by a hash of their id. A shard's layers are drawn by id (a node reaches layer l with
-chance M**-l); a layer's nodes link to near ones by exact candidates from blocked products, spread by the usual
-diversity rule, and to near ones of the layer above, which stand for the long links of early insertions. Every vector
-then queries every shard: greedy descent, then a beam over layer 0 whose width doubles until an audit against brute
+Equal vectors become one first, with their number. Vectors are dealt to shards by a hash of their id, as many as their
+number asks for. A shard's vectors are inserted in batches in the order of their hashes: each descends greedily from
+the top layer to its own (drawn by id, layer l with chance M**-l), searches its layers by beam, and links to what the
+beam and its own batch hold nearest, spread by the usual diversity rule; lists that overflow are spread anew. Every
+vector then queries every shard: greedy descent, then a beam over layer 0 whose width doubles until an audit against brute
 force finds the nearest row of RECALL of those in a sample that have one to link with. What the beam hits is widened to the hit's near-duplicate
-cluster in its shard, so a large group of copies is found whole, and all pairs are verified by cosine in double
+cluster in its shard, so a large group of near copies is found whole, and all pairs are verified by cosine in double
 precision. A task returns counts and a spanning forest of its links, never the pairs.
 """
 
@@ -18,13 +19,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from greenwake.llm.components import components
-from greenwake.session import cut, ship
+from greenwake.llm.components import components, roots
+from greenwake.session import cut, drop_cut, ship
 
 M = 12
 RECALL = 0.98
 AUDIT = 512
 BLOCK = 512
+#: Beam of an insertion.
+INSERT = 48
+#: Vectors of a shard, and queries that meet it in one task.
+PER_SHARD, PER_TASK = 65_536, 32_768
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -39,18 +44,6 @@ def _mixed(ids: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _nearest(q: np.ndarray, x: np.ndarray, k: int, own: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """(index, similarity) of the k nearest rows of x, most similar first; own: each query's own row, left out."""
-    s = q @ x.T
-    if own is not None:
-        s[np.arange(len(q)), own] = -2
-    k = min(k, s.shape[1])
-    top = np.argpartition(-s, k - 1, axis=1)[:, :k]
-    sim = np.take_along_axis(s, top, 1)
-    order = np.argsort(-sim, axis=1, kind="stable")
-    return np.take_along_axis(top, order, 1), np.take_along_axis(sim, order, 1)
-
-
 def _spread(cand: np.ndarray, sim: np.ndarray, x: np.ndarray, keep: int) -> np.ndarray:
     """Up to keep of each row's candidates, one being taken if it's nearer the node than any taken before; -1 pads."""
     v = x[cand]
@@ -63,83 +56,76 @@ def _spread(cand: np.ndarray, sim: np.ndarray, x: np.ndarray, keep: int) -> np.n
     return np.where(np.take_along_axis(sim, order, 1) > -1.5, np.take_along_axis(cand, order, 1), -1)
 
 
-def _both_ways(out: np.ndarray, n: int, width: int) -> np.ndarray:
-    """out with reverse links, at most width a node, a node's own first."""
-    a, b = np.repeat(np.arange(n), out.shape[1]), out.ravel()
-    ok = b >= 0
-    a, b = a[ok], b[ok]
-    src, dst, late = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([np.zeros(len(a), np.int8), np.ones(len(b), np.int8)])
-    key = src.astype(np.int64) * n + dst
-    order = np.lexsort((late, key))
-    first = np.ones(len(key), dtype=bool)
-    first[1:] = key[order][1:] != key[order][:-1]
-    pick = order[first]
-    src, dst, late = src[pick], dst[pick], late[pick]
-    order = np.lexsort((_mixed(dst), late, src))
-    src, dst = src[order], dst[order]
-    place = np.arange(len(src)) - np.searchsorted(src, src)
-    ok = place < width
-    table = np.full((n, width), -1, dtype=np.int32)
-    table[src[ok], place[ok]] = dst[ok]
-    return table
-
-
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest node reachable from each of n nodes over edges a-b."""
-    root = np.arange(n)
-    while len(a):
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        np.minimum.at(new, root[a], low)
-        np.minimum.at(new, root[b], low)
-        new = new[new]
-        if (new == root).all():
-            break
-        root = new
-    return root
-
-
-def build(ids: np.ndarray, vectors: np.ndarray, cosine: float, m: int = M) -> dict:
-    """The graph of a shard: vectors in id order, layers from the top down, clusters of rows near `cosine`."""
-    order = np.argsort(ids, kind="stable")
+def _linked_back(table: np.ndarray, x: np.ndarray, dst: np.ndarray, src: np.ndarray, sim: np.ndarray) -> None:
+    """Adds src to the links of dst in place; a list that overflows keeps a spread choice of its links."""
+    width = table.shape[1]
+    order = np.lexsort((-sim, dst))
+    dst, src, sim = dst[order], src[order], sim[order]
+    place = np.arange(len(dst)) - np.searchsorted(dst, dst)
+    near = place < width  # what is further than a whole list's worth of new ones can't stay
+    dst, src, sim, place = dst[near], src[near], sim[near], place[near]
+    rows, own = np.unique(dst, return_inverse=True)
+    for lo in range(0, len(rows), BLOCK):
+        some = rows[lo : lo + BLOCK]
+        mine = (own >= lo) & (own < lo + BLOCK)
+        cand = np.full((len(some), 2 * width), -1, dtype=np.int64)
+        cand[:, :width] = table[some]
+        cand[own[mine] - lo, width + place[mine]] = src[mine]
+        has = cand >= 0
+        full = has.sum(axis=1) > width
+        easy = np.argsort(~has, axis=1, kind="stable")[:, :width]
+        table[some] = np.take_along_axis(cand, easy, 1)
+        if full.any():
+            c, ok = cand[full], has[full]
+            s = np.where(ok, np.einsum("bkd,bd->bk", x[c], x[some[full]]), -2).astype(np.float32)
+            best = np.argsort(-s, axis=1, kind="stable")[:, : width + width // 2]
+            table[some[full]] = _spread(np.take_along_axis(c, best, 1), np.take_along_axis(s, best, 1), x, width)
+
+
+def build(ids: np.ndarray, vectors: np.ndarray, cosine: float, m: int = M, weight: np.ndarray | None = None) -> dict:
+    """The graph of a shard: vectors in the order of their hashes, layers from the top down, clusters of rows that
+    insertion found near `cosine`, and how many equal vectors each stands for."""
+    order = np.lexsort((ids, _mixed(ids)))
     ids, vectors = ids[order], vectors[order]
+    weight = np.ones(len(ids), np.int64) if weight is None else weight[order]
     x, n = _unit(vectors), len(ids)
-    level = np.floor(-np.log((_mixed(ids) >> np.uint64(11)).astype(np.float64) / 2**53 + 1e-18) / np.log(m)).astype(int)
-    layers, above = [], None
-    near_a, near_b = [], []
-    for lev in range(max(0, int(level.max())), -1, -1):
-        nodes = np.flatnonzero(level >= lev)
-        if len(nodes) == 0:
-            continue
-        y, keep = x[nodes], 2 * m if lev == 0 else m
-        parts = []
-        for s in range(0, len(nodes), BLOCK):
-            own = np.arange(s, min(s + BLOCK, len(nodes)))
-            if len(nodes) == 1:
-                parts.append(np.full((1, 1), -1))
+    level = np.floor(-np.log((_mixed(ids + 1) >> np.uint64(11)).astype(np.float64) / 2**53 + 1e-18) / np.log(m)).astype(int)
+    nodes = [np.flatnonzero(level >= lev) for lev in range(int(level.max(initial=0)) + 1)]
+    tables = [np.full((len(some), 4 * m if lev == 0 else 2 * m), -1, dtype=np.int32) for lev, some in enumerate(nodes)]
+    rows = [x if lev == 0 else x[some] for lev, some in enumerate(nodes)]
+    root, at = np.arange(n), 0
+    while at < n:
+        end = min(n, at + min(BLOCK, max(16, at // 2)))
+        q, start = x[at:end], None
+        for lev in range(len(nodes) - 1, -1, -1):
+            have, upto = np.searchsorted(nodes[lev], [at, end])
+            found, sim = np.zeros((end - at, 0), np.int64), np.zeros((end - at, 0), np.float32)
+            if have:
+                begin = np.zeros((end - at, 1), np.int64) if start is None else np.where(start >= 0, np.searchsorted(nodes[lev], start), -1)
+                found, sim = _beam(q, rows[lev][:have], tables[lev][:have], begin, INSERT if lev == 0 else 12)
+                start = np.where(found >= 0, nodes[lev][np.maximum(found, 0)], -1)
+            if upto == have:
                 continue
-            cand, sim = _nearest(y[own], y, 2 * keep, own)
-            chosen = _spread(cand, sim, y, keep)
-            if above is not None:
-                far, far_sim = _nearest(y[own], x[above], 4, None)
-                far = np.searchsorted(nodes, above[far])
-                chosen = np.concatenate([chosen, np.where((far != own[:, None]) & (far_sim > -1.5), far, -1)], axis=1)
-            parts.append(chosen)
-            if lev == 0:
-                for i, row in zip(own, y[own] @ y.T >= cosine - 1e-4, strict=True):
-                    hit = np.flatnonzero(row)
-                    near_a.append(np.full(len(hit), i)), near_b.append(hit)
-                if sum(map(len, near_a)) > 4_000_000:  # links so far become a forest
-                    root = _roots(n, np.concatenate(near_a), np.concatenate(near_b))
-                    near_a, near_b = [np.arange(n)], [root]
-        wide = max(p.shape[1] for p in parts)
-        table = np.concatenate([np.pad(p, ((0, 0), (0, wide - p.shape[1])), constant_values=-1) for p in parts])
-        layers.append((nodes.astype(np.int32), _both_ways(table, len(nodes), 2 * keep)))
-        above = nodes
-    cluster = _roots(n, np.concatenate(near_a), np.concatenate(near_b)) if near_a else np.arange(n)
-    return {"ids": ids, "vectors": vectors, "layers": layers, "cluster": cluster}
+            mine = nodes[lev][have:upto] - at  # the batch's rows of this layer
+            among = q[mine] @ q[mine].T
+            np.fill_diagonal(among, -2)
+            cand = np.concatenate([found[mine], np.broadcast_to(np.arange(have, upto), among.shape)], axis=1)
+            sims = np.concatenate([np.where(found[mine] >= 0, sim[mine], -2), among], axis=1)
+            keep = 2 * m if lev == 0 else m
+            if lev == 0:  # links found so far hang clusters together
+                r, c = np.nonzero(sims >= cosine - 1e-4)
+                root = roots(np.concatenate([r + at, np.arange(end)]), np.concatenate([cand[r, c], root[:end]]), n)
+            top = np.argsort(-sims, axis=1, kind="stable")[:, : 2 * keep]
+            cand, sims = np.take_along_axis(cand, top, 1), np.take_along_axis(sims, top, 1)
+            chosen = _spread(np.maximum(cand, 0), sims, rows[lev], keep)
+            tables[lev][have:upto, : chosen.shape[1]] = chosen
+            r, c = np.nonzero(chosen >= 0)
+            src, dst = have + r, chosen[r, c].astype(np.int64)
+            new = dst < have
+            _linked_back(tables[lev], rows[lev], dst[new], src[new], np.einsum("nd,nd->n", rows[lev][dst[new]], rows[lev][src[new]]))
+        at = end
+    layers = [(some.astype(np.int32), table) for some, table in zip(nodes, tables, strict=True)][::-1]
+    return {"ids": ids, "vectors": vectors, "layers": layers, "cluster": root, "weight": weight}
 
 
 def _beam(q: np.ndarray, x: np.ndarray, links: np.ndarray, start: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -197,16 +183,19 @@ def search(graph: dict, x: np.ndarray, q: np.ndarray, width: int) -> tuple[np.nd
 
 
 def audited_width(graph: dict, x: np.ndarray, q: np.ndarray, ids: np.ndarray, cosine: float, recall: float = RECALL) -> int:
-    """The beam width at which a sample of the queries finds its nearest row as often as recall asks; of the sample
-    those count that have a row to link with (the shard's own rows at least), all of it if those are few."""
-    some = q[np.argsort(_mixed(ids), kind="stable")[:AUDIT]]
-    best = (some @ x.T).max(axis=1)
+    """The beam width at which a sample of the queries finds its nearest other row as often as recall asks; of the
+    sample those count that have another row to link with, all of it if those are few."""
+    pick = np.argsort(_mixed(ids), kind="stable")[:AUDIT]
+    some, own = q[pick], ids[pick]
+    s = np.where(own[:, None] == graph["ids"][None, :], -3, some @ x.T)
+    best = s.max(axis=1)
     linked = best >= cosine
     if linked.sum() >= AUDIT // 16:
-        some, best = some[linked], best[linked]
+        some, best, own = some[linked], best[linked], own[linked]
     width = 16
     while width < len(x):
-        found = search(graph, x, some, width)[1].max(axis=1)
+        node, sim = search(graph, x, some, width)
+        found = np.where((node >= 0) & (graph["ids"][np.maximum(node, 0)] != own[:, None]), sim, -3).max(axis=1)
         if (found >= best - 1e-6).mean() >= recall:
             break
         width *= 2
@@ -216,8 +205,7 @@ def audited_width(graph: dict, x: np.ndarray, q: np.ndarray, ids: np.ndarray, co
 def links(graph: dict, ids: np.ndarray, vectors: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a, b, n) rows for queries against a shard: n links of vector a, which hangs together with b."""
     x, q = _unit(graph["vectors"]), _unit(vectors)
-    norm_x = np.linalg.norm(graph["vectors"].astype(np.float64), axis=1)
-    norm_q = np.linalg.norm(vectors.astype(np.float64), axis=1)
+    norm_x, norm_q = _norm(graph["vectors"]), _norm(vectors)
     width = audited_width(graph, x, q, ids, cosine)
     by_cluster = np.argsort(graph["cluster"], kind="stable")
     sorted_cluster = graph["cluster"][by_cluster]
@@ -233,42 +221,57 @@ def links(graph: dict, ids: np.ndarray, vectors: np.ndarray, cosine: float) -> t
         for cluster in np.unique(hits[:, 1]):
             ask = hits[hits[:, 1] == cluster, 0] + s
             lo, hi = np.searchsorted(sorted_cluster, [cluster, cluster + 1])
-            have = by_cluster[lo:hi]
-            dots = vectors[ask].astype(np.float64) @ graph["vectors"][have].astype(np.float64).T
-            close = dots / (norm_q[ask][:, None] * norm_x[have][None, :]) >= cosine
-            close &= ids[ask][:, None] != graph["ids"][have][None, :]
-            i, j = np.nonzero(close)
-            count[ask] += close.sum(axis=1)
-            pa.append(mine[ask[i]]), pb.append(theirs[have[j]])
+            for k in range(lo, hi, 1 << 14):  # a large cluster by parts
+                have = by_cluster[k : min(k + (1 << 14), hi)]
+                dots = vectors[ask] @ graph["vectors"][have].T
+                close = dots / (norm_q[ask][:, None] * norm_x[have][None, :]) >= cosine
+                close &= ids[ask][:, None] != graph["ids"][have][None, :]
+                i, j = np.nonzero(close)
+                count[ask] += close @ graph["weight"][have]
+                pa.append(mine[ask[i]]), pb.append(theirs[have[j]])
         if pa:
             a, b = np.concatenate([*pa, np.arange(len(names))]), np.concatenate([*pb, forest])
-            forest = _roots(len(names), a, b)
+            forest = roots(a, b, len(names))
     on = np.flatnonzero(forest != np.arange(len(names)))
     has = np.flatnonzero(count)
     return np.concatenate([ids[has], names[on]]), np.concatenate([ids[has], names[forest[on]]]), np.concatenate([count[has], np.zeros(len(on), np.int64)])
 
 
-def near_duplicates(rows: DataFrame, cosine: float = 0.95, n_shards: int = 8, per_task: int = 8192, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def _norm(vectors: np.ndarray) -> np.ndarray:
+    return np.linalg.norm(vectors, axis=1)
+
+
+def near_duplicates(rows: DataFrame, cosine: float = 0.95, n_shards: int | None = None, per_task: int = PER_TASK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, as do null ids; vectors
-    of different lengths don't link. Rows of one id count as one vector, the smallest. n_shards bounds a shard's
-    memory: choose it so that rows / n_shards vectors and their graph fit a task.
+    of different lengths don't link. Rows of one id count as one vector, the smallest. n_shards: 8, or as many as hold
+    PER_SHARD vectors each where there are more. An empty table gives no rows; other columns are not read.
     """
     ship(rows.sparkSession)
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    slim = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
-    good = slim.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).filter(~bad & F.exists("v", lambda x: x != 0)).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+    slim = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    good = slim.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).filter(~bad & F.exists("v", lambda x: x != 0))
+    # very large and very small ones scaled, so that no square over- or underflows
+    top = F.array_max(F.transform("v", lambda x: F.abs(x)))
+    good = good.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("top", top)
+    good = good.select("vec_id", F.when((F.col("top") > 1e100) | (F.col("top") < 1e-100), F.transform("v", lambda x: x / F.col("top"))).otherwise(F.col("v")).alias("v"))
+    good = cut(good, "vectors")
+    same = good.groupBy("v").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight"))
+    copies = cut(good.join(same, "v").select("vec_id", "first", "weight"), "copies")
+    one = same.select(F.col("first").alias("vec_id"), "v", "weight", F.size("v").alias("dim"))
+    if n_shards is None:
+        n_shards = max(8, -(-good.count() // PER_SHARD))
     shard = F.pmod(F.xxhash64("vec_id"), F.lit(n_shards)).cast("int")
 
     def make(group: pd.DataFrame) -> pd.DataFrame:
-        graph = build(group["vec_id"].to_numpy(), np.stack(group["v"].to_numpy()), cosine)
+        graph = build(group["vec_id"].to_numpy(), np.stack(group["v"].to_numpy()), cosine, weight=group["weight"].to_numpy())
         return pd.DataFrame({"dim": [group["dim"].iloc[0]], "shard": [group["shard"].iloc[0]], "graph": [pickle.dumps(graph, protocol=5)]})
 
-    graphs = cut(good.withColumn("shard", shard).groupBy("dim", "shard").applyInPandas(make, "dim int, shard int, graph binary"), "graphs")
-    splits = max(1, -(-rows.count() // per_task))
+    graphs = cut(one.withColumn("shard", shard).groupBy("dim", "shard").applyInPandas(make, "dim int, shard int, graph binary"), "graphs")
+    splits = max(1, -(-good.count() // per_task))
     split = F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(splits)).cast("int").alias("split")
-    asked = good.select("vec_id", "v", "dim", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"), split)
+    asked = one.select("vec_id", "v", "dim", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"), split)
     dealt = graphs.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
 
     def ask(queries: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
@@ -279,8 +282,11 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.95, n_shards: int = 8, pe
 
     keys = ["dim", "shard", "split"]
     found = cut(asked.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(ask, "a long, b long, n long"), "links")
-    whole = components(found)
-    n_links = found.groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("n_links"))
+    drop_cut(graphs, good)
+    edges = found.select("a", "b").unionByName(copies.filter("vec_id != first").select(F.col("vec_id").alias("a"), F.col("first").alias("b")))
+    whole = components(edges)
+    n_links = found.groupBy(F.col("a").alias("first")).agg(F.sum("n").alias("n"))
+    n_links = copies.join(n_links, "first", "left").select("vec_id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     out = slim.select("vec_id").join(n_links, "vec_id", "left").join(whole.withColumnRenamed("node", "vec_id"), "vec_id", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
