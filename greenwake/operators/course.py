@@ -105,8 +105,9 @@ def hole_candidates(features: DataFrame, boundary: DataFrame) -> DataFrame:
 
 
 def detect_holes(candidates: DataFrame, expected: int = 18) -> DataFrame:
-    """candidates within 1..expected with `chosen`: inside first, then longest, then nearest the centre."""
-    order = Window.partitionBy("course_slug", "hole_number").orderBy(F.desc("inside"), F.desc("length_m"), "dist_center")
+    """candidates within 1..expected with `chosen`: inside first, then longest, then nearest the centre,
+    then the smallest feature_id where there is one."""
+    order = Window.partitionBy("course_slug", "hole_number").orderBy(F.desc("inside"), F.desc("length_m"), "dist_center", *[c for c in ("feature_id",) if c in candidates.columns])
     some = candidates.filter(F.col("hole_number").between(1, expected))
     return some.withColumn("r", F.row_number().over(order)).withColumn("chosen", F.col("r") == 1).drop("r")
 
@@ -167,16 +168,16 @@ def anchors(holes: DataFrame, assigned: DataFrame) -> DataFrame:
 
 
 def label_points(points: DataFrame, polygons: DataFrame, keys: list[str], infer_rough: bool = True, tile: float = 64.0) -> DataFrame:
-    """points(*keys, point_id, x, y) with label, label_id, source and confidence: the polygon (label, ring) of least
-    priority that holds the point, else inferred rough or unknown. Both sides meet on square tiles."""
+    """points(*keys, x, y, ...) with label, label_id, source and confidence: the polygon (label, ring) of least priority
+    that holds the point, else inferred rough or unknown. A square tile's polygons are one array, which a point scans in
+    order of priority, so points are joined once and need no identity."""
     rank = F.create_map(*[F.lit(x) for kv in LABEL_PRIORITY.items() for x in kv])
     ids = F.create_map(*[F.lit(x) for kv in LABEL_IDS.items() for x in kv])
     b = G.bounds(F.col("ring"))
-    tiles = polygons.select(*keys, "label", "ring").withColumn("tx", F.explode(F.sequence(F.floor(b["x0"] / tile), F.floor(b["x1"] / tile)))).withColumn("ty", F.explode(F.sequence(F.floor(b["y0"] / tile), F.floor(b["y1"] / tile))))
-    keyed = points.withColumn("tx", F.floor(F.col("x") / tile)).withColumn("ty", F.floor(F.col("y") / tile))
-    hits = keyed.select(*keys, "point_id", "x", "y", "tx", "ty").join(tiles, [*keys, "tx", "ty"]).filter(G.in_ring(F.col("x"), F.col("y"), F.col("ring")))
-    best = hits.groupBy(*keys, "point_id").agg(F.min_by("label", F.element_at(rank, F.col("label"))).alias("hit"))
-    out = points.join(best, [*keys, "point_id"], "left")
+    tiles = polygons.select(*keys, "label", "ring").withColumn("__tx", F.explode(F.sequence(F.floor(b["x0"] / tile), F.floor(b["x1"] / tile)))).withColumn("__ty", F.explode(F.sequence(F.floor(b["y0"] / tile), F.floor(b["y1"] / tile))))
+    shapes = tiles.groupBy(*keys, "__tx", "__ty").agg(F.array_sort(F.collect_list(F.struct(F.element_at(rank, F.col("label")).alias("rank"), "label", "ring"))).alias("__shapes"))
+    keyed = points.withColumn("__tx", F.floor(F.col("x") / tile)).withColumn("__ty", F.floor(F.col("y") / tile))
+    out = keyed.join(shapes, [*keys, "__tx", "__ty"], "left").withColumn("hit", F.get(F.filter("__shapes", lambda s: G.in_ring(F.col("x"), F.col("y"), s["ring"])), 0)["label"]).drop("__tx", "__ty", "__shapes")
     default = "rough_inferred" if infer_rough else "unknown"
     label = F.coalesce("hit", F.lit(default))
     source = F.when(F.col("hit").isNotNull(), F.concat(F.lit("osm:golf="), "hit")).otherwise("inferred:background" if infer_rough else "unknown")

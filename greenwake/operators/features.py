@@ -91,13 +91,12 @@ def shape() -> list[Column]:
 def dogleg(points_with_green: DataFrame) -> DataFrame:
     """(hole_id, dogleg_score): the fairway centre's largest offset over 12 bins of y, by the green's distance."""
     fairway = points_with_green.filter((F.col("label") == "fairway") & (F.col("green_y_m") > 0))
-    enough = fairway.groupBy("hole_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_FAIRWAY).select("hole_id")
-    step = F.col("green_y_m") / BINS
-    bin_ = F.least(F.lit(BINS - 1), F.floor(F.col("y") / step))
-    inside = fairway.filter((F.col("y") >= 0) & (F.col("y") < F.col("green_y_m"))).withColumn("bin", bin_)
-    centres = inside.groupBy("hole_id", "green_y_m", "bin").agg(F.count(F.lit(1)).alias("n"), exact_mean(F.col("x")).alias("cx")).filter(F.col("n") >= MIN_BIN)
-    scored = centres.groupBy("hole_id", "green_y_m").agg(F.max(F.abs("cx")).alias("far"))
-    return scored.join(enough, "hole_id", "left_semi").select("hole_id", (F.col("far") / F.col("green_y_m")).alias("dogleg_score"))
+    along = (F.col("y") >= 0) & (F.col("y") < F.col("green_y_m"))
+    bin_ = F.when(along, F.least(F.lit(BINS - 1), F.floor(F.col("y") / (F.col("green_y_m") / BINS)))).otherwise(-1)
+    centres = fairway.groupBy("hole_id", "green_y_m", bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"), exact_mean(F.col("x")).alias("cx"))
+    far = F.max(F.when((F.col("bin") >= 0) & (F.col("n") >= MIN_BIN), F.abs("cx")))
+    scored = centres.groupBy("hole_id", "green_y_m").agg(F.sum("n").alias("n"), far.alias("far")).filter((F.col("n") >= MIN_FAIRWAY) & F.col("far").isNotNull())
+    return scored.select("hole_id", (F.col("far") / F.col("green_y_m")).alias("dogleg_score"))
 
 
 def with_green(points: DataFrame) -> DataFrame:
@@ -113,7 +112,7 @@ def hole_features(points: DataFrame, holes: DataFrame | None = None) -> DataFram
 
     holes may carry net_elevation_change_m, which is preferred as tee_to_green_elevation_change.
     """
-    both = with_green(clean_points(points))
+    both = with_green(clean_points(points).repartition("hole_id"))  # read and shuffled once for all that follows
     wide = both.groupBy("hole_id", "green_y_m").agg(*geometry(), *elevation(), *labels(), *zones(), *pressure(), *shape())
     wide = wide.join(dogleg(both), "hole_id", "left")
     ids = ["hole_id"]

@@ -172,10 +172,10 @@ _META = f"""{PC}, has AS (SELECT hole_id, {", ".join(f"bool_or(label = '{s}') AS
 _BUDGET = {"fairway": 12, "green": 8, "bunker": 8, "water": 8, "tee": 6}
 _PENALTY = {"fairway": 999, "green": 999, "bunker": 40, "water": 50, "tee": 999}
 _WEIGHTS = {"baseline": {"fairway": 0.30, "green": 0.25, "bunker": 0.25, "water": 0.15, "tee": 0.05}, "hazard": {"fairway": 0.15, "green": 0.15, "bunker": 0.35, "water": 0.30, "tee": 0.05}}
-_CHAMFER = f"""{_META}, b AS (SELECT *, CASE label {" ".join(f"WHEN '{s}' THEN {n}" for s, n in _BUDGET.items())} END AS budget FROM pc WHERE hole_id < 24),
+_CHAMFER = f"""{_META}, b AS (SELECT *, CASE label {" ".join(f"WHEN '{s}' THEN {n}" for s, n in _BUDGET.items())} END AS budget FROM pc),
  o AS (SELECT hole_id, label, x, y, z * 2 AS z, budget, row_number() OVER (PARTITION BY hole_id, label ORDER BY x, y, z) - 1 AS i, count(*) OVER (PARTITION BY hole_id, label) AS n FROM b WHERE budget IS NOT NULL),
  s AS (SELECT * FROM o WHERE n <= budget OR EXISTS (SELECT 1 FROM range(12) AS g(j) WHERE j < budget AND floor(j * (n - 1) / CAST(budget - 1 AS DOUBLE)) = i)),
- pr AS (SELECT * FROM cand WHERE filter_reason = 'PASS' AND target_hole_id < 24 AND candidate_hole_id < 24),
+ pr AS (SELECT * FROM cand WHERE filter_reason = 'PASS'),
  dd AS (SELECT target_hole_id, candidate_hole_id, p.label, p.i AS pi, q.i AS qi, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z)) AS d FROM pr JOIN s p ON p.hole_id = target_hole_id JOIN s q ON q.hole_id = candidate_hole_id AND q.label = p.label),
  ch AS (SELECT * FROM (SELECT target_hole_id, candidate_hole_id, label, avg(m) AS ab FROM (SELECT target_hole_id, candidate_hole_id, label, pi, min(d) AS m FROM dd GROUP BY ALL) GROUP BY ALL)
   JOIN (SELECT target_hole_id, candidate_hole_id, label, avg(m) AS ba FROM (SELECT target_hole_id, candidate_hole_id, label, qi, min(d) AS m FROM dd GROUP BY ALL) GROUP BY ALL) USING (target_hole_id, candidate_hole_id, label))"""
@@ -222,6 +222,9 @@ ORACLE |= {
 
 _SETS = {
     "off_the_tee": ["hole_length_m", "par", *[f"drive_zone_{x}_pct" for x in ("fairway", "trees", "bunker", "water")], *[f"drive_{h}_{s}_pct" for h in ("trees", "bunker", "water") for s in ("left", "right")], "fairway_width_drive_zone", "dogleg_score", "fairway_centerline_shift"],
+    "approach": [*[f"approach_zone_{x}_pct" for x in ("fairway", "trees", "bunker", "water")], *[f"approach_{h}_{s}_pct" for h in ("trees", "bunker", "water") for s in ("left", "right")], "fairway_width_approach_zone", "tee_to_green_elevation_change", "green_relative_elevation"],
+    "green_complex": ["green_pct", *[f"green_complex_{x}_pct" for x in ("trees", "bunker", "water")], "green_complex_mean_z", "green_complex_z_range", "green_relative_elevation", "tee_to_green_elevation_change"],
+    "hazard": [*[f"{h}_pct" for h in ("trees", "bunker", "water", "sand")], *[f"{z}_{h}_pct" for z in ("drive_zone", "approach_zone", "green_complex") for h in ("trees", "bunker", "water")], *[f"{z}_{h}_{s}_pct" for z in ("drive", "approach") for h in ("trees", "bunker", "water") for s in ("left", "right")]],
     "shot_shape": ["dogleg_score", "fairway_centerline_shift", "hole_width_m", "hole_depth_m", "fairway_width_drive_zone", "fairway_width_approach_zone", "x_min", "x_max", "y_min", "y_max"],
     "terrain": [*[f"z_{x}" for x in ("min", "max", "mean", "std", "range", "p10", "p50", "p90")], "tee_to_green_elevation_change", "green_relative_elevation", *[f"{z}_{x}" for z in ("tee_zone", "drive_zone", "approach_zone", "green_complex") for x in ("mean_z", "z_range")]],
 }
@@ -274,3 +277,40 @@ ORACLE |= {
  UNION ALL SELECT * FROM (SELECT hole_id, 100 FROM feats WHERE par = 3 ORDER BY hole_length_m, hole_id LIMIT 1) UNION ALL SELECT * FROM (SELECT hole_id, 101 FROM feats ORDER BY water_pct DESC, hole_id LIMIT 1) UNION ALL SELECT * FROM (SELECT hole_id, 102 FROM feats ORDER BY z_range DESC, hole_id LIMIT 1))
  SELECT hole_id, min(priority) AS priority FROM p GROUP BY 1""",
 }
+
+_BOX = """f AS (SELECT CAST(p_partkey AS INT) AS feature_id, CAST(p_partkey % 25 AS VARCHAR) AS course_slug, (['tees', 'greens', 'fairways', 'bunkers', 'water', 'trees', 'cartpaths'])[CAST(p_partkey % 7 AS INT) + 1] AS canonical_layer,
+  CASE WHEN p_partkey % 4 = 0 THEN p_partkey % 3 + 1 END AS ref, CAST(p_partkey % 13 * 10 - 25 AS DOUBLE) AS x, CAST(p_partkey * 7 % 40 * 10 - 50 AS DOUBLE) AS y FROM part),
+ l AS (SELECT course_slug, n AS hole_number, CAST((n - 1) * 40 AS DOUBLE) AS lx FROM (SELECT DISTINCT CAST(s_nationkey AS VARCHAR) AS course_slug FROM supplier), (SELECT unnest([1, 2, 3]) AS n)),
+ g AS (SELECT f.*, hole_number, sqrt(pow(greatest(x - lx, lx - x - 4, 0), 2) + pow(greatest(y - 300, -y - 6, 0), 2)) AS gap FROM f JOIN l USING (course_slug)),
+ r AS (SELECT *, row_number() OVER (PARTITION BY course_slug, feature_id ORDER BY gap, hole_number) = 1 AS nearest FROM g),
+ m AS (SELECT *, CASE WHEN canonical_layer IN ('water', 'trees', 'cartpaths') THEN 'shared_overlap' WHEN ref IS NOT NULL THEN CASE WHEN ref = hole_number THEN 'ref' END WHEN nearest THEN 'nearest_centerline' END AS assignment_method FROM r),
+ a AS (SELECT course_slug, feature_id, CAST(hole_number AS INT) AS hole_number, canonical_layer, assignment_method, CASE assignment_method WHEN 'shared_overlap' THEN CAST(0.5 AS DOUBLE) WHEN 'ref' THEN CAST(1 AS DOUBLE) ELSE CAST(0.6 AS DOUBLE) END AS assignment_confidence, x + 2 AS cx, y + 3 AS cy FROM m WHERE assignment_method IS NOT NULL AND gap <= 30)"""
+
+
+def _anchor(name: str, layer: str, to: int) -> str:
+    return f"{name} AS (SELECT l.course_slug, l.hole_number, min_by(cx, sqrt(pow(cx - lx, 2) + pow(cy - {to}, 2))) AS mx, min_by(cy, sqrt(pow(cx - lx, 2) + pow(cy - {to}, 2))) AS my FROM l JOIN a ON a.course_slug = l.course_slug AND a.hole_number = l.hole_number AND canonical_layer = '{layer}' GROUP BY ALL)"
+
+
+def _ends(name: str, to: int, end: str) -> str:
+    return f"round(coalesce({name}.mx, lx), 6) AS {name}_x, round(coalesce({name}.my, {to}), 6) AS {name}_y, CASE WHEN {name}.mx IS NULL THEN 'centerline_{end}' ELSE '{name}_feature' END AS {name}_method"
+
+
+_SLUG = "CAST(s_nationkey AS VARCHAR)"
+ORACLE |= {
+    "cloud_ids": f"SELECT s_suppkey AS hole_id, printf('%s__%02d', {_SLUG}, s_suppkey % 18 + 1) AS name, {_SLUG} || ':' || CAST(s_suppkey % 18 + 1 AS VARCHAR) AS cloud_id, {_SLUG} || ':' || CAST(s_suppkey % 18 + 1 AS VARCHAR) AS parsed FROM supplier",
+    "hole_labels": f"SELECT hole_id, course_slug || ' #' || hole_id || CASE WHEN hole_id % 5 > 0 THEN ' - par ' || par ELSE '' END || CASE WHEN hole_id % 7 > 0 THEN ' - ' || CAST(round(hole_length_m) AS INT) || ' yd' ELSE '' END AS label FROM ({HOLES})",
+    "clean_ints": """SELECT p_partkey, CAST(CASE WHEN p_partkey % 4 IN (0, 1) THEN p_partkey END AS INT) AS number, CASE WHEN p_partkey % 3 = 0 THEN NULL WHEN p_partkey % 4 = 0 THEN CAST(p_partkey AS VARCHAR) WHEN p_partkey % 4 = 1 THEN p_partkey || '.75' WHEN p_partkey % 4 = 2 THEN 'n/a' END AS text FROM part""",
+    "grid_stride": f"""WITH {GRID} SELECT {ROW}, col, 1000 + (col + CAST(0.5 AS DOUBLE)) * 5 AS x, 2000 - ({ROW} + CAST(0.5 AS DOUBLE)) * 5 AS y, round(z, 6) AS z FROM g WHERE {ROW} % 2 = 0 AND col % 2 = 0 AND z IS NOT NULL""",
+    "grid_clip": f"""WITH {GRID}, c AS (SELECT {ROW}, col, 1000 + (col + CAST(0.5 AS DOUBLE)) * 5 AS x, 2000 - ({ROW} + CAST(0.5 AS DOUBLE)) * 5 AS y, round(z, 6) AS z FROM g WHERE z IS NOT NULL),
+ b AS (SELECT 1 AS hole_id, *, greatest(y - 1950, 1800 - y, 0) AS u, abs(x - 1050) AS v FROM c UNION ALL SELECT 2, *, greatest(1100 - x, x - 1300, 0), abs(y - 1900) FROM c) SELECT hole_id, {ROW}, col, x, y, z FROM b WHERE sqrt(u * u + v * v) < 32""",
+    "dem_coverage": f"""{PC}, n AS (SELECT hole_id, count(z) AS n FROM pc GROUP BY 1), c AS (SELECT hole_id, least(1.0, n / (CAST(10 AS DOUBLE) * (hole_id % 50 + 30) / 4)) AS v FROM n)
+ SELECT hole_id, round(v, 6) AS coverage, CASE WHEN v < 0.5 THEN 'LOW_DEM_COVERAGE;COARSE_DEM' ELSE 'COARSE_DEM' END AS flags FROM c""",
+    "assign_features": f"WITH {_BOX} SELECT * EXCLUDE (cx, cy) FROM a",
+    "assignment_summary": f"WITH {_BOX} SELECT canonical_layer, assignment_method, count(*) AS n FROM a GROUP BY ALL",
+    "hole_anchors": f"""WITH {_BOX}, {_anchor("tee", "tees", 0)}, {_anchor("green", "greens", 300)} SELECT l.course_slug, CAST(l.hole_number AS INT) AS hole_number, {_ends("tee", 0, "start")}, {_ends("green", 300, "end")},
+ round((CASE WHEN tee.mx IS NULL THEN CAST(0.6 AS DOUBLE) ELSE CAST(0.85 AS DOUBLE) END + CASE WHEN green.mx IS NULL THEN CAST(0.6 AS DOUBLE) ELSE CAST(0.85 AS DOUBLE) END) / 2, 6) AS anchor_confidence FROM l LEFT JOIN tee USING (course_slug, hole_number) LEFT JOIN green USING (course_slug, hole_number)""",
+    "aggregate_index": f"SELECT {_SLUG} AS course_slug, 'processed' AS status, s_nationkey * 2 AS region, s_suppkey AS hole_number, CAST(3 + s_suppkey % 3 AS INT) AS par, printf('%s__%02d', {_SLUG}, s_suppkey) AS hole_id FROM supplier WHERE s_nationkey % 3 > 0",
+    "top_matches": f"{_SCORE} SELECT target_hole_id, candidate_hole_id, rank, round(total_score, 5) AS total_score FROM res_baseline WHERE target_hole_id = 7 AND rank <= 3",
+    "slope_ceilings": f"""WITH {GRID}, s AS (SELECT {ROW}, {_gradient(ROW, "col")} AS dx, {_gradient("col", ROW)} AS dy FROM g) SELECT CAST({ROW} // 10 AS INT) AS hole_id, round(greatest(1.0, quantile_cont(sqrt(dx * dx + dy * dy) * 100, 0.98)), 6) AS vmax FROM s GROUP BY 1""",
+    "course_order": f"SELECT {_SLUG} AS course_slug, s_suppkey AS hole_id, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS place FROM supplier",
+}

@@ -320,7 +320,7 @@ def _box(x0, y0, x1, y1) -> Column:
 
 @query
 def point_in_polygon_label(spark, d):
-    p = fixtures.points(spark, d).select(F.lit(1).alias("k"), F.monotonically_increasing_id().alias("point_id"), "hole_id", (F.col("x") + 50.25).alias("x"), (F.col("y") / 5 + 0.125).alias("y"))
+    p = fixtures.points(spark, d).select(F.lit(1).alias("k"), "hole_id", (F.col("x") + 50.25).alias("x"), (F.col("y") / 5 + 0.125).alias("y"))
     one = spark.range(1)
     polygons = None
     for label, box in (("fairway", (0, 0, 100, 100)), ("bunker", (10, 10, 20, 20)), ("green", (80, 80, 95, 95))):
@@ -449,3 +449,94 @@ def pca(spark, d):
 @query
 def feature_dictionary(spark, d):
     return publish.feature_dictionary(_features(spark, d))
+
+
+@query
+def cloud_ids(spark, d):
+    h = fixtures.holes(spark, d)
+    name = course.hole_id(F.col("course_slug"), F.col("hole_id") % 18 + 1)
+    return h.select("hole_id", name.alias("name"), course.cloud_id(F.col("course_slug"), F.col("hole_id") % 18 + 1).alias("cloud_id"), course.to_cloud_id(name).alias("parsed"))
+
+
+@query
+def hole_labels(spark, d):
+    h = fixtures.holes(spark, d)
+    return h.select("hole_id", publish.hole_label(F.col("course_slug"), F.col("hole_id"), F.when(F.col("hole_id") % 5 > 0, F.col("par")), F.when(F.col("hole_id") % 7 > 0, F.col("hole_length_m"))).alias("label"))
+
+
+@query
+def clean_ints(spark, d):
+    k = F.col("p_partkey")
+    raw = F.when(k % 4 == 0, F.concat(F.lit(" "), k.cast("string"), F.lit(" "))).when(k % 4 == 1, F.concat(k.cast("string"), F.lit(".75"))).when(k % 4 == 2, F.lit("n/a"))
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", course.clean_int(raw).alias("number"), course.clean_text(F.when(k % 3 == 0, F.lit("  ")).otherwise(raw)).alias("text"))
+
+
+@query
+def grid_stride(spark, d):
+    return _r(terrain.centres(_grid(spark), T5, T5.stride(12.0)).select("row", "col", "x", "y", "z"))
+
+
+@query
+def grid_clip(spark, d):
+    lines = spark.range(1).select(F.explode(F.array(F.struct(F.lit(1).alias("hole_id"), _ring((1050, 1950), (1050, 1800)).alias("line")), F.struct(F.lit(2).alias("hole_id"), _ring((1100, 1900), (1300, 1900)).alias("line")))).alias("l")).select("l.*")
+    return _r(terrain.clip(_grid(spark), lines, T5, 32.0).select("hole_id", "row", "col", "x", "y", "z"))
+
+
+@query
+def dem_coverage(spark, d):
+    n = fixtures.points(spark, d).groupBy("hole_id").agg(F.count("z").alias("n"))
+    cover = terrain.coverage(F.col("n"), F.lit(10.0) * (F.col("hole_id") % 50 + 30), 2.0)
+    return n.select("hole_id", F.round(cover, 6).alias("coverage"), F.array_join(terrain.coverage_flags(cover, 2.5), ";").alias("flags"))
+
+
+def _course_features(spark, d):
+    """Three parallel centre lines for each course, and a small box for each part and course."""
+    courses = fixtures.holes(spark, d).select("course_slug").distinct()
+    lines = courses.select("course_slug", F.explode(F.array(*[F.struct(F.lit(n).alias("hole_number"), _ring((at, 0), (at, 300)).alias("line")) for n, at in ((1, 0), (2, 40), (3, 80))])).alias("l")).select("course_slug", "l.*")
+    k = F.col("p_partkey").cast("int")
+    x, y = ((k % 13) * 10 - 25).cast("double"), ((k * 7) % 40 * 10 - 50).cast("double")
+    box = F.array(*[F.struct((x + dx).alias("x"), (y + dy).alias("y")) for dx, dy in ((0.0, 0.0), (4.0, 0.0), (4.0, 6.0), (0.0, 6.0), (0.0, 0.0))])
+    names = F.array(*map(F.lit, ("tees", "greens", "fairways", "bunkers", "water", "trees", "cartpaths")))
+    parts = spark.read.parquet(f"{d}/part.parquet").select(k.alias("feature_id"), (k % 25).cast("string").alias("course_slug"), F.get(names, k % 7).alias("canonical_layer"), F.when(k % 4 == 0, (k % 3 + 1).cast("string")).alias("ref"), F.array(box).alias("parts"))
+    return lines, course.assign(parts, lines, 30.0)
+
+
+@query
+def assign_features(spark, d):
+    return _course_features(spark, d)[1].select("course_slug", "feature_id", "hole_number", "canonical_layer", "assignment_method", "assignment_confidence")
+
+
+@query
+def assignment_summary(spark, d):
+    return course.assignment_counts(_course_features(spark, d)[1])
+
+
+@query
+def hole_anchors(spark, d):
+    lines, assigned = _course_features(spark, d)
+    a = course.anchors(lines, assigned)
+    return _r(a.select("course_slug", "hole_number", *[F.col(f"{n}.{c}").alias(f"{n}_{c}") for n in ("tee", "green") for c in "xy"], "tee_method", "green_method", "anchor_confidence"))
+
+
+@query
+def aggregate_index(spark, d):
+    h = fixtures.holes(spark, d)
+    manifests = h.select("course_slug", "course_id").distinct().select("course_slug", F.when(F.col("course_id") % 3 > 0, "processed").otherwise("failed").alias("status"), (F.col("course_id") * 2).alias("region"))
+    summaries = h.select("course_slug", F.col("hole_id").alias("hole_number"), F.lit(-1).alias("region"), "par")
+    return publish.aggregate_index(manifests, summaries).select("course_slug", "status", "region", "hole_number", "par", "hole_id")
+
+
+@query
+def top_matches(spark, d):
+    return _r(cloud.top_matches(_scored(spark, d, BASELINE), 7, 3).select("target_hole_id", "candidate_hole_id", "rank", "total_score"), 5)
+
+
+@query
+def slope_ceilings(spark, d):
+    cells = terrain.slope(_grid(spark), T5).withColumn("hole_id", (F.col("row") / 10).cast("int"))
+    return _r(publish.slope_ceiling(cells))
+
+
+@query
+def course_order(spark, d):
+    return publish.course_order(fixtures.holes(spark, d).withColumn("hole_number", F.col("hole_id"))).select("course_slug", "hole_id", "place")
