@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from greenwake.llm import hilbert, hnsw, langid, minhash, packing, repeats, secrets, simhash, tokens
-from greenwake.llm.components import components
+from greenwake.llm.components import components, roots
 from greenwake.llm.textbytes import utf8, words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, value string, id int"
@@ -39,6 +39,7 @@ def docs(spark):
 def test_components(spark):
     e = spark.createDataFrame([(5, 4), (4, 9), (9, 2), (7, 8), (3, 3), (7, 8)], "a long, b long")
     assert {r["node"]: r["component"] for r in components(e).collect()} == {5: 2, 4: 2, 9: 2, 2: 2, 7: 7, 8: 7}
+    assert {r["node"]: r["component"] for r in components(e, one_task=0).collect()} == {5: 2, 4: 2, 9: 2, 2: 2, 7: 7, 8: 7}
     assert components(e.limit(0)).count() == 0
 
 
@@ -98,26 +99,39 @@ def test_minhash_matches_brute_force(spark):
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
 
 
-def test_minhash_links_short_texts_whose_values_share_a_bit(spark):
-    rng = np.random.default_rng(11)
-    bases, clashing = [], 0
-    while clashing < 12:
-        base = " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 7)) for _ in range(5))
-        values = next(minhash._sets(pa.RecordBatch.from_arrays([pa.array([base.encode()])], names=["t"]), 0, 2)).view(np.uint64)
-        clash = len(np.unique(values % np.uint64(64 * minhash.BITS))) < len(values)
-        clashing += clash
-        if clash or len(bases) < 20:
-            bases.append(base)
+def _linked(texts, n=2, percent=80):
+    """Smallest linked number of each text, by all pairs of full sets."""
+    words_ = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) for t in texts]
+    sets = [set(zip(*(w[i:] for i in range(n)), strict=False)) if len(w) >= n else {tuple(w)} if w else set() for w in words_]
+    names = {x: i for i, x in enumerate(set().union(*sets))}
+    held = np.zeros((len(texts), max(1, len(names))), np.float32)
+    for i, own in enumerate(sets):
+        held[i, [names[x] for x in own]] = 1
+    both, size = held @ held.T, held.sum(1)
+    a, b = np.nonzero((100 * both >= percent * (size[:, None] + size[None] - both)) & (both > 0))
+    return roots(a, b, len(texts)), size
+
+
+def test_minhash_links_short_texts(spark):
+    bases = [sentence(500 + i, 5) for i in range(20)]
     # the hub is a variant that links the base, the other variants link the base only
     texts = [t for b in bases for t in (*(f"{b} other{i}" for i in range(9)), b)]
-    sets = [set(zip(t.split(), t.split()[1:], strict=False)) for t in texts]
-    root = list(range(len(texts)))
-    for _ in range(3):
-        for a, b in itertools.combinations(range(len(texts)), 2):
-            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
-                root[a] = root[b] = min(root[a], root[b])
     got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame(spark, texts), 2, 80).collect()}
-    assert got == dict(enumerate(root)) and len(set(root)) == len(bases)
+    want, _ = _linked(texts)
+    assert got == dict(enumerate(want.tolist()))
+
+
+def test_minhash_in_a_large_family_of_near_but_unlinked_texts(spark):
+    rng, base, texts = np.random.default_rng(4), sentence(600, 90).split(), []
+    for i in range(330):
+        words_ = list(base) if i % 3 else [*base[: 60 + i % 30], *sentence(700 + i, 8).split()]
+        for at in rng.integers(0, len(words_), int(rng.integers(0, 11))):
+            words_[at] = f"own{rng.integers(0, 60 if i % 2 else 10**6)}"
+        texts.append(" ".join(words_))
+    texts += [texts[7], texts[7], " ".join(sentence(601, 40).split() * 2)]
+    got = {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in minhash.near_duplicates(frame(spark, texts), 2, 80).collect()}
+    want, size = _linked(texts)
+    assert got == {i: (int(w), int(size[i])) for i, w in enumerate(want)} and 30 < len(set(want.tolist())) < 300
 
 
 def test_simhash(spark, docs):
@@ -152,6 +166,7 @@ def test_hnsw_matches_brute_force(spark):
     near = u @ u.T >= 0.95
     np.fill_diagonal(near, False)
     assert np.mean([got[i][0] == n for i, n in enumerate(near.sum(1))]) >= 0.98
+    assert sum(n for n, _ in got.values()) >= 0.98 * near.sum()
     assert got[110][1] == 0 and got[201] == (1, 200) and got[300] == (0, 300) and got[301] == (0, 301)
 
 
@@ -198,6 +213,65 @@ def test_streaming_in_pieces_is_the_same():
     assert list(machine.stream(pieces)) == machine._merge_one(raw)
 
 
+def test_every_run_goes_through_the_transducer(monkeypatch):
+    from greenwake.llm import bpe
+
+    path, lib = _bpe()
+    machine, seen, streamed = bpe.Transducer(path), set(), bpe.Transducer.streamed
+    monkeypatch.setattr(bpe.Transducer, "streamed", lambda self, runs: (seen.update(runs), streamed(self, runs))[1])
+    monkeypatch.setattr(bpe, "SEGMENT", 300)
+    texts = [*[t or "" for t in TEXTS], "a<|endoftext|>b " * 50, sentence(9, 400) + "\n\n  " + "z" * 900]
+    for text, ids in zip(texts, machine.encode_batch(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids
+    assert {p.encode() for p in machine.known if isinstance(p, str)} == seen
+    assert max(map(len, machine.segments(texts[-1]))) < len(texts[-1])
+    assert machine.count(sorted(seen)).tolist() == [len(list(machine.stream(r))) for r in sorted(seen)]
+
+
+def test_other_tokenizer_files_are_refused(tmp_path):
+    import json
+
+    from greenwake.llm.bpe import Transducer
+
+    spec = json.load(open(_bpe()[0], encoding="utf-8"))
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": spec["model"] | {"byte_fallback": True}}):
+        (tmp_path / "t.json").write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError, match="byte-level"):
+            Transducer(str(tmp_path / "t.json"))
+
+
+def _ppm(counts, order, context, symbol):
+    """Chance of a symbol: escape method C, what a context has seen being left out of what it escapes to."""
+    if order < 0:
+        return 1 / 256
+    row, down = counts.get((order, context)), context[1:]
+    if not row:
+        return _ppm(counts, order - 1, down, symbol)
+    both = sum(row.values()) + len(row)
+    if symbol in row:
+        return row[symbol] / both
+    free = 1 - sum(_ppm(counts, order - 1, down, s) for s in row)
+    return len(row) / both * _ppm(counts, order - 1, down, symbol) / free
+
+
+def test_code_lengths_match_plain_ppm(spark):
+    texts = ["abab cab", "bba abc", "xyz zyx", "zzyx x"]
+    model = langid.train(frame(spark, texts, {0: "a", 1: "a", 2: "b", 3: "b"}))
+    tried = ["abc", "zyxab", "c a", "xyzzy ab", "qa", ""]
+    got = langid.Trees(model).lengths(*utf8(pa.array(tried)))
+    for k, own in enumerate((texts[:2], texts[2:])):
+        counts = {}
+        for t in own:
+            b = b"\0\0\0" + t.encode()
+            for i, order in itertools.product(range(3, len(b)), range(4)):
+                row = counts.setdefault((order, b[i - order : i]), {})
+                row[b[i]] = row.get(b[i], 0) + 1
+        for n, t in enumerate(tried):
+            b = b"\0\0\0" + t.encode()
+            want = sum(-np.log2(_ppm(counts, 3, b[i - 3 : i], b[i])) for i in range(3, len(b)))
+            assert got[n, k] == pytest.approx(want, abs=1e-3), (t, k)
+
+
 def test_language_id(spark):
     langs = {i: ("aa", "bb")[i % 2] for i in range(40)}
     texts = [("the cat sat on the mat and ran " if i % 2 == 0 else "der hund lief zu dem haus und bellte ") * 5 for i in range(40)]
@@ -228,6 +302,13 @@ def test_secrets(spark):
             assert "live" in r["spans"]
         if r["doc_id"] in (0, 6, 7):
             assert "live" in r["spans"]  # two owners hold it
+    values = {"abcdefghijkl0123": {0, 6, 7}, "A1b2C3d4E5f6": {3}, "x" * 30 + "1": {8}}  # one or two owners each
+    live = {r["doc_id"]: [x for x in r["spans"].split(",") if x.startswith("live")] for r in secrets.digests(frame(spark, texts)).collect()}
+    assert all(live[i] for own in values.values() for i in own) and not live[5] and not live[1]
+    hot = spark.createDataFrame([(i, SECRET, "one") for i in range(secrets.OFTEN + 1)], "doc_id long, text string, source string")
+    assert all("live" not in r["spans"] and r["n_copied"] == 1 for r in secrets.digests(hot).collect())  # one owner, many repositories
+    clash = frame(spark, texts).withColumnsRenamed({"value": "__id", "id": "id_"}).withColumn("spans", F.lit(1))
+    assert secrets.redact(clash).columns == clash.columns and secrets.redact(clash.limit(0)).count() == 0
     wide = frame(spark, [SECRET] * 6)
     assert all("live" not in r["spans"] for r in secrets.digests(wide).collect())
     clean = {r["doc_id"]: r["text"] for r in secrets.redact(frame(spark, texts)).collect()}
@@ -307,6 +388,22 @@ def test_near_dedup_tells_rows_of_one_id_apart(spark):
     assert got == sorted([(1, a), (5, b), (7, c), (7, d), (None, "x y z"), (None, None), (None, None), (8, None)], key=str)
 
 
+def test_stages_with_empty_tables_and_clashing_names(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    names = {"value": "__id", "id": "__key"}
+    docs = frame(spark, [sentence(80, 40), sentence(80, 40) + " x", None, "", SECRET]).withColumnsRenamed(names)
+    for name, stage in pipeline.STAGES:
+        empty, got = stage(spark, docs.limit(0), ""), stage(spark, docs, "")
+        assert empty.count() == 0 and got.count() > 0, name
+        if name != pipeline.STAGES[-1][0]:
+            assert got.columns == docs.columns and empty.columns == docs.columns, name
+
+
+def test_shards_follow_the_curve(spark, docs):
+    got = hilbert.shards(docs, 4).toPandas().sort_values(["shard", "slot"])
+    assert got["hilbert"].is_monotonic_increasing and got["hilbert"].nunique() > 4
+
+
 def test_registered_queries():
     from greenwake.llm import queries
 
