@@ -5,7 +5,7 @@ number asks for. A shard's vectors are inserted in batches in the order of their
 the top layer to its own (drawn by id, layer l with chance M**-l), searches its layers by beam, and links to what the
 beam and its own batch hold nearest, spread by the usual diversity rule; lists that overflow are spread anew. Every
 vector then queries every shard: greedy descent, then a beam over layer 0 whose width doubles until an audit against brute
-force finds the nearest row of RECALL of those in a sample that have one to link with. What the beam hits is widened to the hit's near-duplicate
+force finds the nearest row of RECALL of the sampled queries that have one to link with. What the beam hits is widened to the hit's near-duplicate
 cluster in its shard, so a large group of near copies is found whole, and all pairs are verified by cosine in double
 precision. A task returns counts and a spanning forest of its links, never the pairs.
 """
@@ -24,7 +24,8 @@ from greenwake.session import cut, drop_cut, ship
 
 M = 12
 RECALL = 0.98
-AUDIT = 512
+#: Queries of an audit's sample, samples at most, linked queries that are enough, and the narrowest beam.
+AUDIT, ROUNDS, ENOUGH, LEAST = 512, 8, 64, 32
 BLOCK = 512
 #: Beam of an insertion.
 INSERT = 48
@@ -183,17 +184,20 @@ def search(graph: dict, x: np.ndarray, q: np.ndarray, width: int) -> tuple[np.nd
 
 
 def audited_width(graph: dict, x: np.ndarray, q: np.ndarray, ids: np.ndarray, cosine: float, recall: float = RECALL) -> int:
-    """The beam width at which a sample of the queries finds its nearest other row as often as recall asks; of the
-    sample those count that have another row to link with, all of it if those are few."""
-    pick = np.argsort(_mixed(ids), kind="stable")[:AUDIT]
-    some, own = q[pick], ids[pick]
-    s = np.where(own[:, None] == graph["ids"][None, :], -3, some @ x.T)
-    best = s.max(axis=1)
-    linked = best >= cosine
-    if linked.sum() >= AUDIT // 16:
-        some, best, own = some[linked], best[linked], own[linked]
-    width = 16
-    while width < len(x):
+    """The beam width at which queries that have another row to link with find their nearest one as often as recall
+    asks. Queries are sampled in the order of their hashes, AUDIT at a time, until ENOUGH such are met or ROUNDS samples
+    are through; the fewer have a link, the fewer links there are to miss."""
+    order, some, best, own = np.argsort(_mixed(ids), kind="stable"), [], [], []
+    for at in range(0, min(len(order), AUDIT * ROUNDS), AUDIT):
+        pick = order[at : at + AUDIT]
+        top = np.where(ids[pick][:, None] == graph["ids"][None, :], -3, q[pick] @ x.T).max(axis=1)
+        linked = top >= cosine
+        some.append(q[pick][linked]), best.append(top[linked]), own.append(ids[pick][linked])
+        if sum(map(len, best)) >= ENOUGH:
+            break
+    some, best, own = np.concatenate(some), np.concatenate(best), np.concatenate(own)
+    width = LEAST
+    while len(best) and width < len(x):
         node, sim = search(graph, x, some, width)
         found = np.where((node >= 0) & (graph["ids"][np.maximum(node, 0)] != own[:, None]), sim, -3).max(axis=1)
         if (found >= best - 1e-6).mean() >= recall:
