@@ -1,4 +1,4 @@
-"""Command line: features, modes, presented, cloud, calibrate. Exit codes: 0 done, 1 failed, 2 wrong usage."""
+"""Command line: features, modes, presented, cloud, calibrate, batch, sweep, validate, surfaces. Exit codes: 0 done, 1 failed, 2 wrong usage."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import sys
 
 from pyspark.sql import functions as F
 
-from greenwake.operators import cloud, features, neighbours, plausibility
+from greenwake.operators import cloud, exports, features, neighbours, plausibility
 from greenwake.session import build_session
 from greenwake.sources import configs, readers, sinks
 
@@ -40,11 +40,23 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--include-same-course", action="store_true")
     p.add_argument("--include-self", action="store_true")
     command("calibrate", "config", "results")
+    for name in ("batch", "sweep"):
+        p = command(name, "metadata", "points")
+        p.add_argument("--config", required=True, action="append", help="sweep takes several")
+        p.add_argument("--top-n", type=int, default=25)
+        p.add_argument("--limit-targets", type=int)
+        p.add_argument("--exclude-same-course", action="store_true")
+        p.add_argument("--include-self", action="store_true")
+    p = command("validate", "results")
+    p.add_argument("--top-n", type=int, default=10)
+    command("surfaces", "metadata", "points")
     return top
 
 
 def run(a: argparse.Namespace) -> None:
     spark = build_session()
+    if a.command in ("batch", "sweep", "validate", "surfaces"):
+        return run_outputs(spark, a)
     if a.command == "features":
         points = readers.read_points(spark, a.points).toDF("hole_id", "x", "y", "z", "label")
         out = features.hole_features(points, readers.read_index(spark, a.holes))
@@ -67,6 +79,30 @@ def run(a: argparse.Namespace) -> None:
     out.write.mode("overwrite" if a.overwrite else "errorifexists").parquet(a.out)
 
 
+def run_outputs(spark, a: argparse.Namespace) -> None:
+    """The commands that write folders of several outputs."""
+    if a.command == "validate":
+        results = exports.load_results(spark, a.results)
+        if results is None:
+            raise FileNotFoundError(f"no results under {a.results}")
+        return exports.write_validation(results, exports.config_names(spark, a.results), a.out, a.top_n, a.overwrite)
+    meta, points = readers.read_surfaces(spark, a.metadata, a.points)
+    if a.command == "surfaces":
+        print(exports.write_surfaces(meta, points, f"{a.out}/points", f"{a.out}/metadata", a.overwrite))
+        return None
+    options = {"top_n": a.top_n, "include_self": a.include_self, "exclude_same_course": a.exclude_same_course, "limit_targets": a.limit_targets}
+    chosen = [configs.load_cloud_config(spark, c) for c in a.config]
+    if a.command == "batch":
+        if len(chosen) != 1:
+            raise ValueError("batch takes one --config")
+        exports.write_batch(meta, points, chosen[0], a.out, overwrite=a.overwrite, sources=(a.metadata, a.points), **options)
+    else:
+        failed = [r for r in exports.write_sweep(meta, points, chosen, a.out, overwrite=a.overwrite, **options) if r["status"] == "failed"]
+        if failed:
+            raise RuntimeError("; ".join(f"{r['config_name']}: {r['error']}" for r in failed))
+    return None
+
+
 def main(argv: list[str] | None = None) -> int:
     try:
         args = parser().parse_args(argv)

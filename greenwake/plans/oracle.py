@@ -314,3 +314,7 @@ ORACLE |= {
     "slope_ceilings": f"""WITH {GRID}, s AS (SELECT {ROW}, {_gradient(ROW, "col")} AS dx, {_gradient("col", ROW)} AS dy FROM g) SELECT CAST({ROW} // 10 AS INT) AS hole_id, round(greatest(1.0, quantile_cont(sqrt(dx * dx + dy * dy) * 100, 0.98)), 6) AS vmax FROM s GROUP BY 1""",
     "course_order": f"SELECT {_SLUG} AS course_slug, s_suppkey AS hole_id, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS place FROM supplier",
 }
+ORACLE |= {
+    "available_targets": f"{_SCORE} SELECT DISTINCT CAST(target_hole_id AS VARCHAR) AS target_hole_id FROM res_baseline",
+    "terrain_stats_view": f"{PC} SELECT hole_id, CAST(0 AS DOUBLE) AS tee_elevation_m, round(min(z), 6) AS min_elevation_m, round(max(z), 6) AS max_elevation_m, true AS no_slope, count(*) AS n FROM pc GROUP BY 1",
+}

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from greenwake.functions import geometry as G
 from greenwake.functions.stats import even_subsample
-from greenwake.operators import cloud, clusters, course, features, neighbours, plausibility, publish, terrain
+from greenwake.operators import cloud, clusters, course, exports, features, neighbours, plausibility, publish, terrain
 from greenwake.plans import fixtures
+from greenwake.sources import sinks
 from greenwake.sources.configs import CloudConfig
 from greenwake.sources.readers import compact_points
 
@@ -540,3 +541,16 @@ def slope_ceilings(spark, d):
 @query
 def course_order(spark, d):
     return publish.course_order(fixtures.holes(spark, d).withColumn("hole_number", F.col("hole_id"))).select("course_slug", "hole_id", "place")
+
+
+@query
+def available_targets(spark, d):
+    return exports.available_targets(_scored(spark, d, BASELINE))
+
+
+@query
+def terrain_stats_view(spark, d):
+    p = fixtures.points(spark, d)
+    h = p.groupBy("hole_id").agg(F.round(F.min("z"), 6).alias("min_elevation_m"), F.round(F.max("z"), 6).alias("max_elevation_m")).withColumn("tee_elevation_m", F.lit(0.0))
+    sinks.register_catalog(spark, h, p)
+    return spark.sql("SELECT s.hole_id, s.tee_elevation_m, s.min_elevation_m, s.max_elevation_m, s.avg_slope_deg IS NULL AS no_slope, p.n FROM hole_terrain_stats s JOIN (SELECT hole_id, count(*) AS n FROM hole_points GROUP BY hole_id) p ON s.hole_id = p.hole_id")

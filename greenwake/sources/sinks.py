@@ -64,12 +64,18 @@ def geojson(features: DataFrame) -> DataFrame:
     return shaped.groupBy("layer").agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.sort_array(F.collect_list("f")), ","), F.lit("]}")).alias("value"))
 
 
+# The columns of the terrain view, in order.
+TERRAIN_STATS = (
+    "hole_id", "tee_elevation_m", "green_elevation_m", "net_elevation_change_m", "min_elevation_m", "max_elevation_m", "mean_elevation_m",
+    "avg_slope_deg", "max_slope_deg", "avg_slope_percent", "max_slope_percent",
+)
+
+
 def register_catalog(spark: SparkSession, holes: DataFrame, points: DataFrame) -> None:
-    """Temporary views `holes`, `hole_terrain_stats` and `hole_points`."""
+    """Temporary views `holes`, `hole_terrain_stats` (a column that holes lack is null) and `hole_points`."""
     holes.createOrReplaceTempView("holes")
     points.createOrReplaceTempView("hole_points")
-    stats = [c for c in holes.columns if c in ("hole_id", "course_slug", "hole_number") or c.startswith(("min_", "max_", "mean_", "net_", "abs_", "tee_elev", "green_elev"))]
-    holes.select(*stats).createOrReplaceTempView("hole_terrain_stats")
+    holes.select(*[F.col(c) if c in holes.columns else F.lit(None).cast("double").alias(c) for c in TERRAIN_STATS]).createOrReplaceTempView("hole_terrain_stats")
 
 
 def write_document(spark: SparkSession, document: dict, path: str, overwrite: bool = False) -> None:

@@ -1,3 +1,4 @@
+import json
 import math
 
 import numpy as np
@@ -308,3 +309,29 @@ def test_command_line(spark, tmp_path):
     args = ["modes", "--features", str(tmp_path / "f"), "--out", str(tmp_path / "o"), "--mode", "v1", "--neighbors", "2"]
     assert main(args) == 0 and spark.read.parquet(str(tmp_path / "o")).count() == 36
     assert main(args) == 1 and main(["modes"]) == 2 and main([*args, "--overwrite"]) == 0
+
+
+def test_batch_outputs_and_sweep(spark, tmp_path):
+    from dataclasses import replace
+
+    from greenwake.operators import exports
+    from greenwake.plans.queries import BASELINE
+
+    meta = spark.createDataFrame([(f"h{i}", f"c{i % 2}", 4, 400.0 + 5 * i) for i in range(5)], "hole_id string, course_slug string, par int, yards double")
+    for s in ("tee", "green", "fairway", "bunker", "water"):
+        meta = meta.withColumn(f"has_{s}", F.lit(s in BASELINE.required))
+    meta = meta.withColumns({"tee_elevation_m": F.lit(0.0), "green_elevation_m": F.lit(1.0)})
+    points = spark.createDataFrame([(f"h{i}", s, float(x), float(i), 0.0) for i in range(5) for s in BASELINE.required for x in range(4)], "hole_id string, surface string, x_lateral_m double, y_down_hole_m double, z_relative_m double")
+    root = str(tmp_path / "out")
+    status = exports.write_sweep(meta, points, [BASELINE, replace(BASELINE, config_name="broken", scale=None)], root, top_n=3)
+    assert [r["status"] for r in status] == ["ran", "failed"] and status[0]["rows"] == 15
+    again = exports.write_sweep(meta, points, [BASELINE], root, top_n=3)
+    assert again[0]["status"] == "skipped" and exports.config_names(spark, root) == ["baseline"]
+    results = exports.load_results(spark, root)
+    assert [r[0] for r in exports.available_targets(results).collect()] == [f"h{i}" for i in range(5)]
+    manifest = exports.write_batch(meta, points, BASELINE, str(tmp_path / "few"), top_n=2, limit_targets=2)
+    assert (manifest["total_targets"], manifest["total_written_rows"], manifest["total_scored_pairs"]) == (2, 4, 8)
+    assert exports.write_surfaces(meta.filter("hole_id < 'h3'"), points, str(tmp_path / "p"), str(tmp_path / "m")) == {"holes": 3, "points": 36}
+    exports.write_validation(results, ["baseline"], str(tmp_path / "v"), 2)
+    docs = spark.createDataFrame([(json.dumps({"a": [1], "b": 1}),), (json.dumps({"a": [1, 2], "b": 2}),)], "value string")
+    assert exports.merged_manifests(docs.coalesce(1)) == {"a": [1, 2], "b": 2} and exports.file_name("a b/c") == "a_b_c"
