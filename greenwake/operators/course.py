@@ -175,9 +175,10 @@ def label_points(points: DataFrame, polygons: DataFrame, keys: list[str], infer_
     ids = F.create_map(*[F.lit(x) for kv in LABEL_IDS.items() for x in kv])
     b = G.bounds(F.col("ring"))
     tiles = polygons.select(*keys, "label", "ring").withColumn("__tx", F.explode(F.sequence(F.floor(b["x0"] / tile), F.floor(b["x1"] / tile)))).withColumn("__ty", F.explode(F.sequence(F.floor(b["y0"] / tile), F.floor(b["y1"] / tile))))
-    shapes = tiles.groupBy(*keys, "__tx", "__ty").agg(F.array_sort(F.collect_list(F.struct(F.element_at(rank, F.col("label")).alias("rank"), "label", "ring"))).alias("__shapes"))
+    in_box = lambda b: F.col("x").between(b["x0"] - 1e-9, b["x1"] + 1e-9) & F.col("y").between(b["y0"] - 1e-9, b["y1"] + 1e-9)
+    shapes = tiles.groupBy(*keys, "__tx", "__ty").agg(F.array_sort(F.collect_list(F.struct(F.element_at(rank, F.col("label")).alias("rank"), "label", "ring", G.bounds(F.col("ring")).alias("box")))).alias("__shapes"))
     keyed = points.withColumn("__tx", F.floor(F.col("x") / tile)).withColumn("__ty", F.floor(F.col("y") / tile))
-    out = keyed.join(shapes, [*keys, "__tx", "__ty"], "left").withColumn("hit", F.get(F.filter("__shapes", lambda s: G.in_ring(F.col("x"), F.col("y"), s["ring"])), 0)["label"]).drop("__tx", "__ty", "__shapes")
+    out = keyed.join(shapes, [*keys, "__tx", "__ty"], "left").withColumn("hit", F.get(F.filter("__shapes", lambda s: in_box(s["box"]) & G.in_ring(F.col("x"), F.col("y"), s["ring"])), 0)["label"]).drop("__tx", "__ty", "__shapes")
     default = "rough_inferred" if infer_rough else "unknown"
     label = F.coalesce("hit", F.lit(default))
     source = F.when(F.col("hit").isNotNull(), F.concat(F.lit("osm:golf="), "hit")).otherwise("inferred:background" if infer_rough else "unknown")
