@@ -145,6 +145,23 @@ def test_simhash(spark, docs):
     assert simhash.edit_study(docs.limit(0)).count() == 0
 
 
+def test_fingerprints_match_plain_votes():
+    from collections import Counter
+    from math import log
+
+    from greenwake.llm.textbytes import shingles
+
+    texts = [t or "" for t in TEXTS] + ["a b a b a c"]
+    hashes, first = words(*utf8(pa.array(texts, pa.large_string())))
+    got = simhash.fingerprints_of(texts)
+    for i in range(len(texts)):
+        own = hashes[first[i] : first[i + 1]]
+        terms = Counter([*own.tolist(), *(shingles(own, 2).tolist() if len(own) > 1 else [])])
+        ayes = [sum(log(1 + n) * (1 if h >> (63 - b) & 1 else -1) for h, n in terms.items()) for b in range(64)]
+        assert got[i] == int("".join("1" if v > 1e-9 else "0" for v in ayes), 2), texts[i]
+    assert simhash.likeness(0b1011, 0b1000) == 1 - 2 / 64
+
+
 def test_permuted_tables_find_all_within_radius(spark):
     rng = np.random.default_rng(0)
     f = rng.integers(-(2**63), 2**63, 40, dtype=np.int64)
