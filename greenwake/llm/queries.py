@@ -29,7 +29,7 @@ def op2_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.edit_study(_table(spark, sf_dir, "documents"))
+    return simhash.study(_table(spark, sf_dir, "documents"))
 
 
 def op4_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:

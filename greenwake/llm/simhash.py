@@ -12,7 +12,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from greenwake.llm.textbytes import shingles, utf8, words
@@ -54,23 +54,57 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return slim.mapInArrow(run, f"`{id_col}` {slim.schema[0].dataType.simpleString()}, fingerprint long")
 
 
+def _masks(radius: int, blocks: int) -> list[int]:
+    """A signed 64-bit mask for each choice of blocks - radius of the blocks; prints within the radius agree under one."""
+    if not 0 <= radius < blocks <= 64:
+        raise ValueError("radius must be below the number of blocks")
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    masks = [sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in some) for some in combinations(range(blocks), blocks - radius)]
+    return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+
+
+def _tables(prints: DataFrame, masks: list[int], *others: str) -> DataFrame:
+    """A row (t, key, f) of each print in every permuted table; the key is the bits that the table's mask leaves."""
+    keys = F.array(*[F.col("f").bitwiseAND(F.lit(m).cast("long")) for m in masks])
+    return prints.select("f", *others, F.posexplode(keys).alias("t", "key"))
+
+
+def _first_meeting(masks: list[int]) -> Column:
+    """Whether t is the first table in which a and b agree, so that each pair comes once without a distinct."""
+    apart = F.col("a").bitwiseXOR(F.col("b"))
+    first = F.coalesce(*[F.when(apart.bitwiseAND(F.lit(m).cast("long")) == 0, F.lit(t)) for t, m in enumerate(masks)])
+    return F.col("t") == first
+
+
 def within_radius(prints: DataFrame, radius: int = 3, blocks: int = 6, column: str = "fingerprint") -> DataFrame:
     """Pairs a < b of distinct fingerprints at most radius bits apart, with their distance.
 
     The 64 bits are cut into `blocks` blocks; two prints within the radius agree on blocks - radius of them at
     least, so a table for each choice of that many blocks, keyed by their bits, finds every pair.
     """
-    if not 0 <= radius < blocks <= 64:
-        raise ValueError("radius must be below the number of blocks")
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    masks = [sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in some) for some in combinations(range(blocks), blocks - radius)]
-    signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+    masks = _masks(radius, blocks)
     one = prints.select(F.col(column).alias("f")).filter("f is not null").distinct()
-    tables = one.select("f", F.posexplode(F.array(*[F.col("f").bitwiseAND(F.lit(m).cast("long")) for m in signed])).alias("t", "key"))
-    pairs = tables.select("t", "key", F.col("f").alias("a")).join(tables.select("t", "key", F.col("f").alias("b")), ["t", "key"]).filter("a < b").select("a", "b").distinct()
+    tables = _tables(one, masks)
+    pairs = tables.select("t", "key", F.col("f").alias("a")).join(tables.select("t", "key", F.col("f").alias("b")), ["t", "key"]).filter("a < b").filter(_first_meeting(masks)).select("a", "b")
     return pairs.withColumn("distance", F.bit_count(F.col("a").bitwiseXOR(F.col("b")))).filter(F.col("distance") <= radius)
 
 
+def count_within_radius(queries: DataFrame, prints: DataFrame, radius: int = 3, blocks: int = 5, salts: int = 8, column: str = "fingerprint") -> DataFrame:
+    """(column, n_within) of each distinct fingerprint of queries: how many rows of prints lie within the radius.
+
+    Equal prints are counted into one row before they meet the tables. A block that many prints share is dealt over
+    `salts` tasks by the print's hash, and the queries, few beside the prints, go to each of them. Null fingerprints
+    count nowhere; a query that nothing lies near has no row.
+    """
+    masks = _masks(radius, blocks)
+    known = prints.select(F.col(column).alias("f")).filter("f is not null").groupBy("f").agg(F.count(F.lit(1)).alias("n"))
+    asked = queries.select(F.col(column).alias("f")).filter("f is not null").distinct()
+    rows = _tables(known.withColumn("salt", F.pmod(F.xxhash64("f"), F.lit(salts)).cast("int")), masks, "n", "salt").withColumnRenamed("f", "b")
+    probes = _tables(asked, masks).withColumnRenamed("f", "a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    met = probes.join(rows, ["t", "key", "salt"]).filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).filter(_first_meeting(masks))
+    return met.groupBy(F.col("a").alias(column)).agg(F.sum("n").alias("n_within"))
+
+
 def _edited(text: str, following: str) -> str:
     half = len(text) // 2
     return text[: len(text) - half] + following[:half]
@@ -85,6 +119,18 @@ def _row(doc: int | None, text: str, following: str, prints: tuple[int, int, int
     return (doc, len(text), hashlib.sha256(_edited(text, following).encode()).hexdigest(), f"{own:016x}", f"{changed:016x}", likeness(own, changed), likeness(own, next_))
 
 
+def study(docs: DataFrame, radius: int = 3, every: int = 50) -> DataFrame:
+    """edit_study with n_within: of documents whose id is divisible by `every`, the number of other documents whose
+    fingerprint lies within the radius, found by the permuted block tables; null of all others and of null ids.
+    Repeated rows count each, empty texts share fingerprint 0, an empty table gives no rows."""
+    rows = edit_study(docs).withColumn("__f", F.conv("fingerprint", 16, -10).cast("long"))
+    asks = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))
+    queries = rows.filter(asks)
+    near = count_within_radius(queries, rows, radius, column="__f")
+    answered = queries.join(near, "__f", "left").withColumn("n_within", F.col("n_within") - 1)
+    return answered.unionByName(rows.filter(~asks).withColumn("n_within", F.lit(None).cast("long"))).drop("__f")
+
+
 def edit_study(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each text's fingerprint beside that of its edited text and of the next document by ascending id.
 

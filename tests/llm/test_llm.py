@@ -172,6 +172,22 @@ def test_permuted_tables_find_all_within_radius(spark):
     assert {(r["a"], r["b"]) for r in simhash.within_radius(df).collect()} == want and len(want) >= 20
 
 
+def test_study_counts_prints_near_each_query(spark):
+    base = sentence(9, 300)
+    texts = [*TEXTS, *[f"{base} x{i % 30}" for i in range(60)], *[sentence(50 + i, 20) for i in range(30)]]
+    rows = [(None if i == 4 else i, t) for i, t in enumerate(texts)]
+    got = simhash.study(spark.createDataFrame(rows, "doc_id long, text string"), every=3).collect()
+    prints = simhash.fingerprints_of([t or "" for t in texts])
+    assert len(got) == len(texts)
+    for r in got:
+        i = 4 if r["doc_id"] is None else r["doc_id"]
+        want = sum((prints[i] ^ p).bit_count() <= 3 for p in prints) - 1 if i % 3 == 0 else None
+        assert r["n_within"] == want, i
+    assert max(r["n_within"] or 0 for r in got) > 5
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert simhash.study(none).count() == 0 and "n_within" in simhash.study(none).columns
+
+
 def test_hnsw_matches_brute_force(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 16))
