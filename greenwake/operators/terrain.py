@@ -103,4 +103,4 @@ def coverage(finite: Column, buffer_area: Column, resolution: float) -> Column:
 
 
 def coverage_flags(cover: Column, resolution: float) -> Column:
-    return F.array_compact(F.array(F.when(cover < 0.5, "LOW_DEM_COVERAGE"), F.when(F.lit(resolution) > 2.0, "COARSE_DEM")))
+    return F.array_compact(F.array(F.when(cover < 0.5, "LOW_DEM_COVERAGE"), F.when(F.lit(resolution) > 2.0, "COARSE_DEM_RESOLUTION")))

@@ -304,7 +304,7 @@ ORACLE |= {
     "grid_clip": f"""WITH {GRID}, c AS (SELECT {ROW}, col, 1000 + (col + CAST(0.5 AS DOUBLE)) * 5 AS x, 2000 - ({ROW} + CAST(0.5 AS DOUBLE)) * 5 AS y, round(z, 6) AS z FROM g WHERE z IS NOT NULL),
  b AS (SELECT 1 AS hole_id, *, greatest(y - 1950, 1800 - y, 0) AS u, abs(x - 1050) AS v FROM c UNION ALL SELECT 2, *, greatest(1100 - x, x - 1300, 0), abs(y - 1900) FROM c) SELECT hole_id, {ROW}, col, x, y, z FROM b WHERE sqrt(u * u + v * v) < 32""",
     "dem_coverage": f"""{PC}, n AS (SELECT hole_id, count(z) AS n FROM pc GROUP BY 1), c AS (SELECT hole_id, least(1.0, n / (CAST(10 AS DOUBLE) * (hole_id % 50 + 30) / 4)) AS v FROM n)
- SELECT hole_id, round(v, 6) AS coverage, CASE WHEN v < 0.5 THEN 'LOW_DEM_COVERAGE;COARSE_DEM' ELSE 'COARSE_DEM' END AS flags FROM c""",
+ SELECT hole_id, round(v, 6) AS coverage, CASE WHEN v < 0.5 THEN 'LOW_DEM_COVERAGE;COARSE_DEM_RESOLUTION' ELSE 'COARSE_DEM_RESOLUTION' END AS flags FROM c""",
     "assign_features": f"WITH {_BOX} SELECT * EXCLUDE (cx, cy) FROM a",
     "assignment_summary": f"WITH {_BOX} SELECT canonical_layer, assignment_method, count(*) AS n FROM a GROUP BY ALL",
     "hole_anchors": f"""WITH {_BOX}, {_anchor("tee", "tees", 0)}, {_anchor("green", "greens", 300)} SELECT l.course_slug, CAST(l.hole_number AS INT) AS hole_number, {_ends("tee", 0, "start")}, {_ends("green", 300, "end")},
