@@ -38,8 +38,15 @@ def merge_lines(parts: Column) -> Column:
     return F.flatten(parts)
 
 
+def _cross(s: Column, at: Column) -> Column:
+    """Twice the signed area of a segment with the point `at`; from a near point, as products of coordinates as large
+    as a map grid's would leave no digits for a small ring."""
+    return (s["a"]["x"] - at["x"]) * (s["b"]["y"] - at["y"]) - (s["b"]["x"] - at["x"]) * (s["a"]["y"] - at["y"])
+
+
 def signed_area(ring: Column) -> Column:
-    return F.aggregate(segments(ring), F.lit(0.0), lambda acc, s: acc + (s["a"]["x"] * s["b"]["y"] - s["b"]["x"] * s["a"]["y"])) / 2
+    first = F.get(ring, 0)
+    return F.aggregate(segments(ring), F.lit(0.0), lambda acc, s: acc + _cross(s, first)) / 2
 
 
 def area(ring: Column) -> Column:
@@ -52,11 +59,11 @@ def _vertex_mean(ring: Column, axis: str) -> Column:
 
 def centroid(ring: Column) -> Column:
     """struct<x,y>: area centroid of a closed ring, the mean of its vertices if it has no area."""
-    twice = 6 * signed_area(ring)
+    twice, first = 6 * signed_area(ring), F.get(ring, 0)
 
     def axis(name: str) -> Column:
-        total = F.aggregate(segments(ring), F.lit(0.0), lambda acc, s: acc + (s["a"][name] + s["b"][name]) * (s["a"]["x"] * s["b"]["y"] - s["b"]["x"] * s["a"]["y"]))
-        return F.coalesce(total / F.nullif(twice, F.lit(0.0)), _vertex_mean(ring, name))
+        total = F.aggregate(segments(ring), F.lit(0.0), lambda acc, s: acc + (s["a"][name] + s["b"][name] - 2 * first[name]) * _cross(s, first))
+        return F.coalesce(first[name] + total / F.nullif(twice, F.lit(0.0)), _vertex_mean(ring, name))
 
     return F.struct(axis("x").alias("x"), axis("y").alias("y"))
 
