@@ -1,4 +1,5 @@
-"""Command line: features, modes, presented, cloud, calibrate, batch, sweep, validate, surfaces. Exit codes: 0 done, 1 failed, 2 wrong usage."""
+"""Command line: courses, features, modes, presented, cloud, calibrate, batch, sweep, validate,
+surfaces. Exit codes: 0 done, 1 failed, 2 wrong usage."""
 
 from __future__ import annotations
 
@@ -7,9 +8,9 @@ import sys
 
 from pyspark.sql import functions as F
 
-from greenwake.operators import cloud, exports, features, neighbours, plausibility
+from greenwake.operators import cloud, courses, exports, features, neighbours, plausibility
 from greenwake.session import build_session
-from greenwake.sources import configs, readers, sinks
+from greenwake.sources import configs, rasters, readers, sinks
 
 
 def parser() -> argparse.ArgumentParser:
@@ -23,6 +24,17 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--overwrite", action="store_true")
         return p
 
+    p = command("courses", "config", "sources", "rasters")
+    which = p.add_mutually_exclusive_group(required=True)
+    which.add_argument("--course", action="append", help="a slug; repeatable")
+    which.add_argument("--all", action="store_true")
+    which.add_argument("--list", action="store_true", help="print the slugs and do nothing")
+    strict = p.add_mutually_exclusive_group()
+    strict.add_argument("--strict-18", dest="strict", action="store_true", default=True)
+    strict.add_argument("--allow-dirty", dest="strict", action="store_false")
+    p.add_argument("--export-csv", action="store_true")
+    p.add_argument("--point-resolution", type=float, default=1.0)
+    p.add_argument("--max-points", type=int, default=250_000)
     command("features", "points", "holes")
     p = command("modes", "features")
     p.add_argument("--mode", action="append", choices=sorted(neighbours.MODES))
@@ -55,6 +67,8 @@ def parser() -> argparse.ArgumentParser:
 
 def run(a: argparse.Namespace) -> None:
     spark = build_session()
+    if a.command == "courses":
+        return run_courses(spark, a)
     if a.command in ("batch", "sweep", "validate", "surfaces"):
         return run_outputs(spark, a)
     if a.command == "features":
@@ -79,6 +93,28 @@ def run(a: argparse.Namespace) -> None:
     out.write.mode("overwrite" if a.overwrite else "errorifexists").parquet(a.out)
 
 
+def run_courses(spark, a: argparse.Namespace) -> None:
+    """Map features (<sources>/<slug>/*.geojson, or in a folder `source` there) and rasters (<rasters>/<slug>.tif) to
+    holes, points and reports. An unknown slug ends the run before it starts; a course that fails doesn't."""
+    every = configs.load_courses(spark, a.config)
+    if a.list:
+        for row in every.select("course_slug").orderBy("course_slug").collect():
+            print(row[0])
+        return
+    for slug in a.course or []:
+        configs.course(every, slug)
+    chosen = every if a.all else every.filter(F.col("course_slug").isin(a.course))
+    features = readers.read_geojson(spark, a.sources)
+    table, cells = rasters.read_geotiff(spark, a.rasters)
+    done = courses.build(spark, chosen, features, table, cells, a.out, a.strict, a.point_resolution, a.max_points, a.overwrite)
+    if a.export_csv:
+        sinks.write_csv(spark.read.parquet(f"{a.out}/holes"), f"{a.out}/holes_csv", a.overwrite)
+    counts = {r["status"]: r["count"] for r in done.groupBy("status").count().collect()}
+    print(", ".join(f"{k} {counts.get(k, 0)}" for k in ("processed", "skipped", "failed")))
+    if counts.get("failed"):
+        raise RuntimeError(f"{counts['failed']} courses failed; see {a.out}/issues")
+
+
 def run_outputs(spark, a: argparse.Namespace) -> None:
     """The commands that write folders of several outputs."""
     if a.command == "validate":

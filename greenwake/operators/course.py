@@ -101,24 +101,28 @@ def hole_candidates(features: DataFrame, boundary: DataFrame) -> DataFrame:
     lines = features.filter("golf = 'hole' and geom_type in ('LineString', 'MultiLineString')").withColumn("line", G.merge_lines(F.col("parts"))).withColumn("hole_number", hole_number(F.col("ref")))
     joined = lines.filter("hole_number is not null").join(boundary.select("course_slug", "ring"), "course_slug")
     c = G.centroid(F.col("ring"))
-    return joined.select("course_slug", "hole_number", *[x for x in ("par", "handicap") if x in features.columns], "line", intersects(F.array("line"), F.col("ring")).alias("inside"), G.line_length(F.col("line")).alias("length_m"), G.point_line_distance(c["x"], c["y"], F.col("line")).alias("dist_center"))
+    return joined.select("course_slug", "hole_number", *[x for x in ("par", "handicap", "name", "feature_id", "expected_holes") if x in features.columns], "line", intersects(F.array("line"), F.col("ring")).alias("inside"), G.line_length(F.col("line")).alias("length_m"), G.point_line_distance(c["x"], c["y"], F.col("line")).alias("dist_center"))
 
 
-def detect_holes(candidates: DataFrame, expected: int = 18) -> DataFrame:
-    """candidates within 1..expected with `chosen`: inside first, then longest, then nearest the centre,
+def _expected(expected: int | str) -> Column:
+    return F.col(expected) if isinstance(expected, str) else F.lit(expected)
+
+
+def detect_holes(candidates: DataFrame, expected: int | str = 18) -> DataFrame:
+    """candidates within 1..expected (a number, or the column that holds it) with `chosen`: inside first, then longest, then nearest the centre,
     then the smallest feature_id where there is one."""
     order = Window.partitionBy("course_slug", "hole_number").orderBy(F.desc("inside"), F.desc("length_m"), "dist_center", *[c for c in ("feature_id",) if c in candidates.columns])
-    some = candidates.filter(F.col("hole_number").between(1, expected))
+    some = candidates.filter(F.col("hole_number").between(F.lit(1), _expected(expected)))
     return some.withColumn("r", F.row_number().over(order)).withColumn("chosen", F.col("r") == 1).drop("r")
 
 
-def detection_report(detected: DataFrame, courses: DataFrame, expected: int = 18) -> DataFrame:
+def detection_report(detected: DataFrame, courses: DataFrame, expected: int | str = 18) -> DataFrame:
     """(course_slug, detected, missing_refs, duplicate_refs, rejected, is_clean) a course."""
     per = detected.groupBy("course_slug", "hole_number").agg(F.count(F.lit(1)).alias("n"))
     agg = per.groupBy("course_slug").agg(F.count(F.lit(1)).alias("detected"), F.sort_array(F.collect_list("hole_number")).alias("have"), F.sort_array(F.collect_list(F.when(F.col("n") > 1, F.col("hole_number")))).alias("duplicate_refs"), (F.sum("n") - F.count(F.lit(1))).alias("rejected"))
-    out = courses.select("course_slug").distinct().join(agg, "course_slug", "left")
+    out = courses.select("course_slug", *[c for c in (expected,) if isinstance(c, str)]).distinct().join(agg, "course_slug", "left")
     have = F.coalesce("have", F.array().cast("array<int>"))
-    missing = F.array_except(F.sequence(F.lit(1), F.lit(expected)), have)
+    missing = F.array_except(F.sequence(F.lit(1), _expected(expected)), have)
     return out.select("course_slug", F.coalesce("detected", F.lit(0)).alias("detected"), missing.alias("missing_refs"), F.coalesce("duplicate_refs", F.array().cast("array<int>")).alias("duplicate_refs"), F.coalesce("rejected", F.lit(0)).alias("rejected"), (F.size(missing) == 0).alias("is_clean"))
 
 
@@ -189,7 +193,11 @@ def point_cloud(cells: DataFrame, t: Transform, holes: DataFrame, polygons: Data
     """Labelled points of every hole (hole_id, line, tee, green, tee_z) over polygons (hole_id, label, ring)."""
     stride = t.stride(spacing)
     some = centres(cells, t, stride).select("row", "col", "z")
-    inside = clip(some, holes, t, radius)
+    return labelled_cloud(clip(some, holes, t, radius), holes, polygons, cap)
+
+
+def labelled_cloud(inside: DataFrame, holes: DataFrame, polygons: DataFrame, cap: int = 250_000) -> DataFrame:
+    """Labelled, tee-aligned points of inside (hole_id, row, col, x, y, z), at most cap a hole, evenly thinned."""
     inside = even_subsample(inside, ["hole_id"], ["row", "col"], F.lit(cap))
     numbered = inside.withColumn("point_id", F.row_number().over(Window.partitionBy("hole_id").orderBy("row", "col")) - 1)
     labelled = label_points(numbered, polygons, ["hole_id"])

@@ -15,12 +15,13 @@ TAGS = ("golf", "leisure", "natural", "water", "landuse", "highway", "ref", "nam
 def read_geojson(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """One row a feature of FeatureCollections: tags as text, parts as array of lines, the file's layer name.
 
-    Files that can't be parsed, and empty collections, give no rows.
+    Files that can't be parsed, and empty collections, give no rows. course_slug is the folder that holds the file, or
+    the one above it if that is called `source`.
     """
     schema = "features array<struct<properties: map<string,string>, geometry: struct<type: string, coordinates: string>>>"
-    raw = spark.read.text(paths, wholetext=True).select(F.from_json("value", schema).alias("j"), F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)\.(geo)?json$", 1).alias("layer"))
-    rows = raw.select("layer", F.explode("j.features").alias("f")).select("layer", "f.properties", F.col("f.geometry.type").alias("geom_type"), F.col("f.geometry.coordinates").alias("c"))
-    return rows.select("layer", "geom_type", _parts(F.col("geom_type"), F.col("c")).alias("parts"), *[F.col("properties").getItem(t).alias(t) for t in TAGS])
+    raw = spark.read.text(paths, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.*json").select(F.from_json("value", schema).alias("j"), F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)\.(geo)?json$", 1).alias("layer"), F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/(?:source/)?[^/]+$", 1).alias("course_slug"))
+    rows = raw.select("layer", "course_slug", F.explode("j.features").alias("f")).select("layer", "course_slug", "f.properties", F.col("f.geometry.type").alias("geom_type"), F.col("f.geometry.coordinates").alias("c"))
+    return rows.select("layer", "geom_type", _parts(F.col("geom_type"), F.col("c")).alias("parts"), *[F.col("properties").getItem(t).alias(t) for t in TAGS], "course_slug")
 
 
 def _parts(kind: Column, text: Column) -> Column:
