@@ -15,7 +15,7 @@ from greenwake.functions import geometry as G
 from greenwake.operators import course, terrain
 from greenwake.operators.exports import _exists
 from greenwake.schema import LAYER_TO_LABEL, METERS_TO_YARDS, SCHEMA_VERSION
-from greenwake.session import cut, drop_cut
+from greenwake.session import cut, drop_cut, partitions
 from greenwake.sources import sinks
 
 #: Metres of a degree of latitude, for the cell size of rasters in degrees.
@@ -80,6 +80,8 @@ def hole_grid(holes: DataFrame, rasters: DataFrame) -> DataFrame:
     r, s = F.col("hole_buffer_meters"), F.col("step")
     b = G.bounds(F.col("line"))
     box = holes.join(rasters.select("course_slug", "step"), "course_slug").select("course_slug", "hole_id", "line", "hole_buffer_meters", "step", b.alias("b"))
+    # few and small rows become many: dealt out first, or one task would make every hole's cells
+    box = box.repartition(partitions(holes.sparkSession), "hole_id")
     rows = F.sequence(F.floor(-(F.col("b.y1") + r) / s), F.floor(-(F.col("b.y0") - r) / s))
     cols = F.sequence(F.floor((F.col("b.x0") - r) / s), F.floor((F.col("b.x1") + r) / s))
     grid = box.withColumn("row", F.explode(rows)).withColumn("col", F.explode(cols)).withColumn("x", (F.col("col") + 0.5) * s).withColumn("y", -(F.col("row") + 0.5) * s)
