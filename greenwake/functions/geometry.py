@@ -68,8 +68,9 @@ def centroid(ring: Column) -> Column:
     return F.struct(axis("x").alias("x"), axis("y").alias("y"))
 
 
-def in_ring(px: Column, py: Column, ring: Column) -> Column:
-    """Whether a point is in a closed ring, its edge included."""
+def in_ring(px: Column, py: Column, ring: Column, edge: bool = True) -> Column:
+    """Whether a point is in a closed ring, its edge included; without `edge` a point on an edge counts as the crossings
+    say (lower and left edges in, upper and right ones out), so that rings side by side share no point."""
 
     def crosses(s: Column) -> Column:
         ay, by = s["a"]["y"], s["b"]["y"]
@@ -77,7 +78,7 @@ def in_ring(px: Column, py: Column, ring: Column) -> Column:
         return ((ay > py) != (by > py)) & (px < at)
 
     odd = F.size(F.filter(segments(ring), crosses)) % 2 == 1
-    return odd | F.coalesce(point_line_distance(px, py, ring) <= 1e-9, F.lit(False))
+    return odd | F.coalesce(point_line_distance(px, py, ring) <= 1e-9, F.lit(False)) if edge else odd
 
 
 def representative_point(ring: Column) -> Column:

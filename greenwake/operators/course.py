@@ -171,10 +171,10 @@ def anchors(holes: DataFrame, assigned: DataFrame) -> DataFrame:
     return out.withColumn("anchor_confidence", (score("tee") + score("green")) / 2).drop("tee_mapped", "green_mapped", "start", "end")
 
 
-def label_points(points: DataFrame, polygons: DataFrame, keys: list[str], infer_rough: bool = True, tile: float = 64.0) -> DataFrame:
+def label_points(points: DataFrame, polygons: DataFrame, keys: list[str], infer_rough: bool = True, tile: float = 64.0, edge: bool = True) -> DataFrame:
     """points(*keys, x, y, ...) with label, label_id, source and confidence: the polygon (label, ring) of least priority
-    that holds the point, else inferred rough or unknown. A square tile's polygons are one array, which a point scans in
-    order of priority, so points are joined once and need no identity."""
+    that holds the point (on its edge as `edge` of in_ring says), else inferred rough or unknown. A square tile's
+    polygons are one array, which a point scans in order of priority, so points are joined once and need no identity."""
     rank = F.create_map(*[F.lit(x) for kv in LABEL_PRIORITY.items() for x in kv])
     ids = F.create_map(*[F.lit(x) for kv in LABEL_IDS.items() for x in kv])
     b = G.bounds(F.col("ring"))
@@ -182,7 +182,7 @@ def label_points(points: DataFrame, polygons: DataFrame, keys: list[str], infer_
     in_box = lambda b: F.col("x").between(b["x0"] - 1e-9, b["x1"] + 1e-9) & F.col("y").between(b["y0"] - 1e-9, b["y1"] + 1e-9)
     shapes = tiles.groupBy(*keys, "__tx", "__ty").agg(F.array_sort(F.collect_list(F.struct(F.element_at(rank, F.col("label")).alias("rank"), "label", "ring", G.bounds(F.col("ring")).alias("box")))).alias("__shapes"))
     keyed = points.withColumn("__tx", F.floor(F.col("x") / tile)).withColumn("__ty", F.floor(F.col("y") / tile))
-    out = keyed.join(shapes, [*keys, "__tx", "__ty"], "left").withColumn("hit", F.get(F.filter("__shapes", lambda s: in_box(s["box"]) & G.in_ring(F.col("x"), F.col("y"), s["ring"])), 0)["label"]).drop("__tx", "__ty", "__shapes")
+    out = keyed.join(shapes, [*keys, "__tx", "__ty"], "left").withColumn("hit", F.get(F.filter("__shapes", lambda s: in_box(s["box"]) & G.in_ring(F.col("x"), F.col("y"), s["ring"], edge)), 0)["label"]).drop("__tx", "__ty", "__shapes")
     default = "rough_inferred" if infer_rough else "unknown"
     label = F.coalesce("hit", F.lit(default))
     source = F.when(F.col("hit").isNotNull(), F.concat(F.lit("osm:golf="), "hit")).otherwise("inferred:background" if infer_rough else "unknown")

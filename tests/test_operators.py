@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from greenwake.functions import geometry as G
 from greenwake.functions.stats import even_ordinals, even_subsample, standardised
 from greenwake.operators import cloud, clusters, course, features, neighbours, plausibility, publish, terrain
+from greenwake.plans.oracle import ORACLE
 from greenwake.plans.queries import BASELINE, HAZARD, QUERIES
 from greenwake.sources import configs, readers, sinks
 
@@ -335,3 +336,25 @@ def test_batch_outputs_and_sweep(spark, tmp_path):
     exports.write_validation(results, ["baseline"], str(tmp_path / "v"), 2)
     docs = spark.createDataFrame([(json.dumps({"a": [1], "b": 1}),), (json.dumps({"a": [1, 2], "b": 2}),)], "value string")
     assert exports.merged_manifests(docs.coalesce(1)) == {"a": [1, 2], "b": 2} and exports.file_name("a b/c") == "a_b_c"
+
+
+def _tables(spark, folder, lines, suppliers):
+    """The two tables that the hole fixtures read."""
+    cols = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double"
+    spark.createDataFrame(lines, cols).write.parquet(f"{folder}/lineitem.parquet")
+    spark.createDataFrame(suppliers, "s_suppkey long, s_nationkey int").write.parquet(f"{folder}/supplier.parquet")
+    return str(folder)
+
+
+def _duck(folder, name):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for t in ("lineitem", "supplier"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+    return con.execute(ORACLE[name]).fetchall()
+
+
+def test_point_in_polygon_label_counts_points_on_an_edge_as_its_sql_does(spark, tmp_path):
+    d = _tables(spark, tmp_path, [(i, 0, 1, 1, 10.0, p, 0.05) for i, p in enumerate((99875.0, 99874.0, 99876.0))], [(1, 3)])
+    got = QUERIES["point_in_polygon_label"](spark, d).select("label", "label_id", "source", "confidence", "n").collect()
+    assert sorted(map(tuple, got)) == sorted(_duck(d, "point_in_polygon_label"))
