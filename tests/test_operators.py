@@ -358,3 +358,32 @@ def test_point_in_polygon_label_counts_points_on_an_edge_as_its_sql_does(spark,
     d = _tables(spark, tmp_path, [(i, 0, 1, 1, 10.0, p, 0.05) for i, p in enumerate((99875.0, 99874.0, 99876.0))], [(1, 3)])
     got = QUERIES["point_in_polygon_label"](spark, d).select("label", "label_id", "source", "confidence", "n").collect()
     assert sorted(map(tuple, got)) == sorted(_duck(d, "point_in_polygon_label"))
+
+
+def test_neighbours_pair_blocks_and_put_unknown_distances_last(spark):
+    rng = np.random.default_rng(7)
+    v = [[float(x) for x in row] for row in rng.integers(0, 3, (40, 3))]
+    v[5], v[6], v[7] = None, [1.0, None, 2.0], [float("inf"), 0.0, 0.0]
+    rows = [(i, f"c{i % 4}" if i % 9 else None, 3 + i % 2 if i != 11 else None, 100.0 + i if i != 12 else None, x) for i, x in enumerate(v)]
+    holes = spark.createDataFrame(rows, "hole_id long, course_slug string, par int, hole_length_m double, v array<double>")
+
+    def far(a, b):
+        if a is None or b is None or None in a or None in b:
+            return (1, 0.0)
+        d = math.sqrt(sum((x - y) * (x - y) for x, y in zip(a, b)))
+        return (0, round(d, 9))  # inf before unknown; inf - inf is not met, as one vector has it
+
+    for kw in ({}, {"same_par": True}, {"exclude_same_course": True}, {"same_par": True, "max_length_diff_m": 5.0, "max_length_diff_pct": 0.06}):
+        out = neighbours.neighbours(holes.select("hole_id", "v"), holes.drop("v"), 6, blocks=2, **kw)
+        want = set()
+        for q in rows:
+            ok = [c for c in rows if c[0] != q[0]]
+            if kw.get("same_par"):
+                ok = [c for c in ok if q[2] is not None and q[2] == c[2]]
+            if kw.get("exclude_same_course"):
+                ok = [c for c in ok if q[1] != c[1]]
+            if "max_length_diff_m" in kw:
+                ok = [c for c in ok if None in (q[3], c[3]) or abs(q[3] - c[3]) <= max(0.0, 5.0, q[3] * 0.06)]
+            want |= {(q[0], c[0], n + 1) for n, c in enumerate(sorted(ok, key=lambda c: (far(q[4], c[4]), c[0]))[:6])}
+        assert {(r["query_hole_id"], r["similar_hole_id"], r["rank"]) for r in out.collect()} == want
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2  # lengths and pars to each side, no pairs
