@@ -1,3 +1,4 @@
+import dataclasses
 import json
 import math
 
@@ -387,3 +388,33 @@ def test_neighbours_pair_blocks_and_put_unknown_distances_last(spark):
             want |= {(q[0], c[0], n + 1) for n, c in enumerate(sorted(ok, key=lambda c: (far(q[4], c[4]), c[0]))[:6])}
         assert {(r["query_hole_id"], r["similar_hole_id"], r["rank"]) for r in out.collect()} == want
         assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2  # lengths and pars to each side, no pairs
+
+
+@pytest.mark.parametrize("budgets", [BASELINE.budgets, {}])
+def test_batch_ranks_copies_by_id_and_makes_no_row_a_pair(spark, budgets):
+    config = dataclasses.replace(BASELINE, budgets=budgets)
+    rng, n = np.random.default_rng(3), 36
+    clouds = [{s: rng.uniform(0, 30, (m, 3)) for s, m in (("tee", 3), ("green", 4), ("fairway", 70), *([("bunker", 2)] if i != 1 else []))} for i in range(3)]
+    yards = [400.0 + i % 5 * 3 for i in range(n)]
+    meta = spark.createDataFrame([(i, f"c{i % 2}", 4 if i != 9 else None, yards[i], True, True, True) for i in range(n)], "hole_id long, course_slug string, par int, yards double, has_tee boolean, has_green boolean, has_fairway boolean")
+    rows = [(i, s, *map(float, p)) for i in range(n) for s, ps in clouds[i % 3].items() for p in ps]
+    pts = spark.createDataFrame(rows, "hole_id long, surface string, x_lateral_m double, y_down_hole_m double, z_relative_m double")
+    best, _ = cloud.batch(meta, pts, config, 4, include_same_course=False)
+    sets = {}
+    for r in cloud.budgeted(pts, config).collect():
+        sets.setdefault((r["hole_id"] % 3, r["surface"]), set()).add((r["x_lateral_m"], r["y_down_hole_m"], 2 * r["z_relative_m"]))
+    sets = {k: np.array(sorted(v)) for k, v in sets.items()}
+
+    def total(t, c):
+        out = 0.0
+        for s, w in config.weights.items():
+            a, b = sets.get((t % 3, s)), sets.get((c % 3, s))
+            out += 0.0 if a is None and b is None else w * (config.missing[s] if a is None or b is None else cloud.chamfer(a, b))
+        return out + abs(yards[t] - yards[c]) * config.yardage_weight
+
+    got = {(r["target_hole_id"], r["rank"]): (r["candidate_hole_id"], r["total_score"]) for r in best.collect()}
+    for t in range(n):
+        for rank, c in enumerate(sorted((c for c in range(n) if c % 2 != t % 2), key=lambda c: (round(total(t, c), 7), c))[:4]):
+            assert got[t, rank + 1][0] == c and got[t, rank + 1][1] == pytest.approx(total(t, c))
+    assert len(got) == 4 * n
+    assert "EvalPython" not in best._jdf.queryExecution().optimizedPlan().toString()
