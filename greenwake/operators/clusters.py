@@ -40,35 +40,57 @@ def kmeans(vectors: DataFrame, k: int = 8, seeds: int = 10) -> DataFrame:
 
 
 def ward_labels(x: np.ndarray, k: int) -> np.ndarray:
-    """Ward linkage cut at k clusters, numbered by first member."""
+    """Ward linkage cut at k clusters, numbered by first member. Merges are found along chains of nearest neighbours and
+    cut by their heights; a cluster is its size and mean, so memory is that of the rows and not of their pairs."""
     n = len(x)
     k = max(1, min(k, n))
-    d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(2)
-    np.fill_diagonal(d, np.inf)
-    size, label, alive = np.ones(n), np.arange(n), np.ones(n, dtype=bool)
-    for _ in range(n - k):
-        i, j = sorted(divmod(int(np.argmin(d)), n))
-        others = alive.copy()
-        others[[i, j]] = False
-        new = ((size[i] + size) * d[i] + (size[j] + size) * d[j] - size * d[i, j]) / (size[i] + size[j] + size)
-        d[i, others], d[others, i] = new[others], new[others]
-        d[j, :], d[:, j] = np.inf, np.inf
+    x = x.astype(float).copy()
+    # the clusters still apart lie in front, so that a search reads no row of one that is gone
+    mean, size, name = x, np.ones(n), np.arange(n)
+    at, alive, chain, merges = np.arange(n), n, [], []
+    while alive > 1:
+        if not chain:
+            chain = [name[0]]
+        i = at[chain[-1]]
+        d = np.zeros(alive)
+        for axis in range(mean.shape[1]):
+            e = mean[:alive, axis] - mean[i, axis]
+            d += e * e
+        d *= size[:alive] * size[i] / (size[:alive] + size[i])
+        d[i] = np.inf
+        low = d.min()
+        before = at[chain[-2]] if len(chain) > 1 else -1
+        j = before if before >= 0 and d[before] == low else int(np.flatnonzero(d == low)[np.argmin(name[:alive][d == low])])
+        if j != before:
+            chain.append(name[j])
+            continue
+        a, b = sorted((name[i], name[j]))
+        merges.append((low, len(merges), a, b))
+        del chain[-2:]
+        i, j = at[a], at[b]
+        mean[i] = (size[i] * mean[i] + size[j] * mean[j]) / (size[i] + size[j])
         size[i] += size[j]
-        alive[j] = False
-        label[label == j] = i
+        alive -= 1
+        mean[j], size[j], name[j] = mean[alive], size[alive], name[alive]
+        at[name[j]] = j
+    parent = np.arange(n)
+    for _, _, a, b in sorted(merges)[: n - k]:
+        parent[_root(parent, b)] = _root(parent, a)
+    label = np.array([_root(parent, i) for i in range(n)])
     order = {c: r for r, c in enumerate(dict.fromkeys(label.tolist()))}
     return np.array([order[c] for c in label.tolist()])
 
 
-#: Agglomeration holds an n x n matrix, so more holes than this are refused rather than gathered into one task.
-WARD_LIMIT = 5000
+def _root(parent: np.ndarray, i: int) -> int:
+    while parent[i] != i:
+        parent[i] = parent[parent[i]]
+        i = parent[i]
+    return int(i)
 
 
 def ward(vectors: DataFrame, k: int = 8) -> DataFrame:
-    """(hole_id, agglomerative_cluster); ValueError beyond WARD_LIMIT rows."""
-    n = vectors.count()
-    if n > WARD_LIMIT:
-        raise ValueError(f"agglomerative clustering takes at most {WARD_LIMIT} holes, not {n}")
+    """(hole_id, agglomerative_cluster). Linkage goes merge by merge, so one task holds all rows of the matrix; its time
+    grows with their square."""
     ship(vectors.sparkSession)
     kind = vectors.schema["hole_id"].dataType.simpleString()
 

@@ -418,3 +418,12 @@ def test_batch_ranks_copies_by_id_and_makes_no_row_a_pair(spark, budgets):
             assert got[t, rank + 1][0] == c and got[t, rank + 1][1] == pytest.approx(total(t, c))
     assert len(got) == 4 * n
     assert "EvalPython" not in best._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ward_takes_more_holes_than_a_matrix_of_pairs_would_allow(spark):
+    rng = np.random.default_rng(2)
+    middles = rng.permutation(np.repeat(np.arange(4), 1300))
+    x = rng.normal(0, 0.1, (len(middles), 2)) + 10.0 * middles[:, None]
+    out = clusters.ward(spark.createDataFrame([(i, [float(a), float(b)]) for i, (a, b) in enumerate(x)], "hole_id long, v array<double>"), 4)
+    names = {c: n for n, c in enumerate(dict.fromkeys(middles.tolist()))}
+    assert [r["agglomerative_cluster"] for r in out.orderBy("hole_id").collect()] == [names[c] for c in middles.tolist()]
