@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from greenwake.llm.names import unused
 from greenwake.llm.runindex import RunLengthIndex
 from greenwake.llm.textbytes import mix, utf8
-from greenwake.session import cut, partitions, ship
+from greenwake.session import cut, drop_cut, partitions, ship
 
 SPAN = 50
 ANCHOR = 24
@@ -380,10 +380,13 @@ def spans(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: s
         return pd.DataFrame({"doc_id": keys[:, 0], "text_hash": keys[:, 1], "starts": starts, "ends": ends})
 
     pair = "key int, blob binary"
-    places = slim.mapInArrow(anchors, pair).groupBy("key").applyInPandas(shared_anchors, pair).groupBy("key").applyInPandas(gathered, "doc_id long, text_hash long, places binary")
+    # what was shuffled for the places is gone before texts and contexts are shuffled
+    places = cut(slim.mapInArrow(anchors, pair).groupBy("key").applyInPandas(shared_anchors, pair).groupBy("key").applyInPandas(gathered, "doc_id long, text_hash long, places binary"), "places")
     asked = _squeezed(slim).join(places, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "packed", "places")
     found = asked.mapInArrow(extract, pair).groupBy("key").applyInPandas(matched, pair).groupBy("key").applyInPandas(merged, "doc_id long, text_hash long, starts binary, ends binary")
-    return cut(found, "repeats")
+    out = cut(found, "repeats")
+    drop_cut(places)
+    return out
 
 
 def _squeezed(texts: DataFrame) -> DataFrame:

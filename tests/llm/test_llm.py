@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 import re
+import time
 import zlib
 
 import numpy as np
@@ -134,6 +135,21 @@ def test_minhash_in_a_large_family_of_near_but_unlinked_texts(spark):
     assert got == {i: (int(w), int(size[i])) for i, w in enumerate(want)} and 30 < len(set(want.tolist())) < 300
 
 
+def _shuffle_blocks(spark):
+    blocks = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllBlocks()
+    return {str(blocks.apply(i)) for i in range(blocks.size()) if str(blocks.apply(i)).startswith("shuffle_")}
+
+
+def test_repeats_let_go_of_their_shuffles(spark, docs):
+    before = _shuffle_blocks(spark)
+    found = repeats.spans(docs)
+    for _ in range(25):
+        if not (left := _shuffle_blocks(spark) - before):
+            break
+        time.sleep(0.2)
+    assert not left and found.count()
+
+
 def test_simhash(spark, docs):
     got = {r["doc_id"]: r for r in simhash.edit_study(docs).collect()}
     assert len(got) == len(TEXTS) and got[0]["fingerprint"] == got[1]["fingerprint"] and got[0]["near_next"] == 1
