@@ -33,6 +33,8 @@ SHORT = 6
 LEADERS = 1
 #: Estimated likeness to a hub from which a member counts as near, and up to which as far.
 NEAR, FAR = 0.15, 0.6
+#: Shingles of a hub, the first by hash, of which a member's row tells one by one whether it holds them.
+HELD = 1024
 
 
 def _sets(batch: pa.RecordBatch, column: int, n: int) -> Iterator[np.ndarray]:
@@ -129,18 +131,23 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
 
 
 def _relative(members: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    """(hub, id, whole, common, rest) of members(hub, id): the size of the member's full set, how much of it the hub
-    holds, and the shingles that the hub doesn't hold."""
+    """(hub, id, whole, common, rest, held, beyond) of members(hub, id): the size of the member's full set, how much of
+    it the hub holds, the shingles that the hub doesn't hold, which of the hub's first HELD shingles the member holds
+    (a bit each), and how many it holds of the hub's others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, both in _set_pairs(batches, n):
-            whole, common, rest = [], [], []
+            whole, common, rest, held, beyond = [], [], [], [], []
             for x, y in both:
                 own = y[~np.isin(y, x, assume_unique=True)]
+                bits = np.zeros(-(-min(len(x), HELD) // 64) * 64, dtype=bool)
+                bits[: min(len(x), HELD)] = np.isin(x[:HELD], y, assume_unique=True)
                 whole.append(len(y)), common.append(len(y) - len(own)), rest.append(own.astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(whole, pa.int64()), pa.array(common, pa.int64()), pa.array(rest, pa.list_(pa.int64()))], names=["hub", "id", "whole", "common", "rest"])
+                held.append(np.packbits(bits).view("<i8")), beyond.append(len(y) - len(own) - int(bits.sum()))
+            columns = [pa.array(whole, pa.int64()), pa.array(common, pa.int64()), pa.array(rest, pa.list_(pa.int64())), pa.array(held, pa.list_(pa.int64())), pa.array(beyond, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["hub", "id", "whole", "common", "rest", "held", "beyond"])
 
-    return _with_texts(members, texts, "hub", "id").mapInArrow(run, "hub long, id long, whole long, common long, rest array<long>")
+    return _with_texts(members, texts, "hub", "id").mapInArrow(run, "hub long, id long, whole long, common long, rest array<long>, held array<long>, beyond long")
 
 
 def _with_texts(pairs: DataFrame, texts: DataFrame, a: str, b: str) -> DataFrame:
@@ -207,20 +214,26 @@ def _more(links: DataFrame, pairs: DataFrame, sets: DataFrame, texts: DataFrame,
 
 def _met(rows: DataFrame, k: int, likeness: float) -> DataFrame:
     """Pairs (a, b) of rows(value, id, c, whole, weight) that meet in a list, unless they are of one component, their
-    sizes rule a link out, or too few of their values are as common as the list's for it to be the rarest they share."""
-    x, y = (rows.select("value", *[F.col(c).alias(f"{c}_{tag}") for c in ("id", "c", "whole", "weight")]) for tag in "xy")
+    sizes rule a link out, or too few of their values are as common as the list's for it to be the rarest they share.
+    With a column `alone`, one of a pair has it true."""
+    alone = "alone" in rows.columns
+    x, y = (rows.select("value", *[F.col(c).alias(f"{c}_{tag}") for c in ("id", "c", "whole", "weight", *(["alone"] if alone else []))]) for tag in "xy")
     small, large = F.least("whole_x", "whole_y"), F.greatest("whole_x", "whole_y")
     part = likeness / (1 + likeness) * (1 + small / large)  # of the larger set
     shown = F.when(large <= k, part * large).otherwise(k * part - 5 * F.sqrt(k * part * (1 - part)))
     fits = (small >= likeness * large - 1e-9) & (F.least("weight_x", "weight_y") >= F.least(shown, small) - 1e-9)
+    if alone:
+        fits = (F.col("alone_x") | F.col("alone_y")) & fits
     return _pairs(x.join(y, "value").filter(F.expr("id_x < id_y and c_x != c_y") & fits), "id_x", "id_y").distinct()
 
 
 def _possible(seen: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that can still link, of members seen(hub, id, whole, common, rest, c, loose) of one hub and different
-    components, one of them loose at least. Nothing that can link is left out.
+    """Pairs (a, b) that can still link, of members seen(hub, id, whole, common, rest, held, beyond, c, loose) of one hub
+    and different components, one of them loose at least. Nothing that can link is left out.
 
     Two members share at most the lesser of their parts in common with the hub, and what they share of their rests.
+    Of the hub's first HELD shingles the bits tell exactly what they share: members that were changed in different
+    places lose different ones, so that of a family's pairs hardly more than its links are left.
     Pairs that share nothing of their rests are tried by classes of (whole, common), of which there are few however
     many members there are. Others meet on a shingle of their rests: a member that holds `common` of the hub must
     share at least percent% of itself less `common` with its partner's rest, so only that many less of its rarest
@@ -232,9 +245,11 @@ def _possible(seen: DataFrame, percent: int) -> DataFrame:
     # no common rest: by classes
     classes = seen.groupBy("hub", "whole", "common").agg(F.max("loose").alias("loose"))
     close = F.least("common_x", "common_y") * both >= need("whole_x", "whole_y")
+    bits = F.aggregate(F.zip_with("held_x", "held_y", lambda x, y: F.bit_count(x.bitwiseAND(y)).cast("long")), F.lit(0).cast("long"), lambda n, m: n + m)
+    within = bits + F.least("beyond_x", "beyond_y")
     met = side(classes.filter("loose"), "_x").join(side(classes, "_y"), "hub").filter(close)
-    bare = met.join(side(seen.filter("loose"), "_x", "id", "c"), ["hub", "whole_x", "common_x"]).join(side(seen, "_y", "id", "c"), ["hub", "whole_y", "common_y"])
-    bare = bare.filter("c_x != c_y").select(F.col("id_x").alias("x"), F.col("id_y").alias("y"))
+    bare = met.join(side(seen.filter("loose"), "_x", "id", "c", "held", "beyond"), ["hub", "whole_x", "common_x"]).join(side(seen, "_y", "id", "c", "held", "beyond"), ["hub", "whole_y", "common_y"])
+    bare = bare.filter(F.expr("c_x != c_y") & (within * both >= need("whole_x", "whole_y"))).select(F.col("id_x").alias("x"), F.col("id_y").alias("y"))
     # a common rest: by its shingles
     tokens = seen.select("hub", "id", F.explode("rest").alias("token"))
     often = tokens.groupBy("hub", "token").agg(F.count("*").alias("df")).filter("df > 1")
@@ -242,12 +257,12 @@ def _possible(seen: DataFrame, percent: int) -> DataFrame:
     shared = seen.drop("rest").join(order, ["hub", "id"]).withColumn("many", F.size("by"))
     least = F.greatest(F.lit(1), F.ceil(F.col("whole") * percent / 100 - 1e-9) - F.col("common"))
     shared = shared.withColumn("take", (F.col("many") - least + 1).cast("int")).filter("take > 0")
-    shared = shared.select("hub", "id", "whole", "common", "c", "loose", "many", F.posexplode(F.expr("slice(by, 1, take)")).alias("at", "t")).withColumn("token", F.col("t.token"))
-    x = shared.filter("loose").select("hub", "token", *[F.col(c).alias(f"{c}_x") for c in ("id", "whole", "common", "c", "many", "at")])
-    y = shared.select("hub", "token", *[F.col(c).alias(f"{c}_y") for c in ("id", "whole", "common", "c", "many", "at")])
+    shared = shared.select("hub", "id", "whole", "common", "c", "loose", "held", "beyond", "many", F.posexplode(F.expr("slice(by, 1, take)")).alias("at", "t")).withColumn("token", F.col("t.token"))
+    x = shared.filter("loose").select("hub", "token", *[F.col(c).alias(f"{c}_x") for c in ("id", "whole", "common", "c", "held", "beyond", "many", "at")])
+    y = shared.select("hub", "token", *[F.col(c).alias(f"{c}_y") for c in ("id", "whole", "common", "c", "held", "beyond", "many", "at")])
     left = F.least(F.col("many_x") - F.col("at_x"), F.col("many_y") - F.col("at_y"))
     alike = (F.least("common_x", "common_y") + left) * both >= need("whole_x", "whole_y")
-    rich = x.join(y, ["hub", "token"]).filter(F.expr("c_x != c_y") & alike).select(F.col("id_x").alias("x"), F.col("id_y").alias("y"))
+    rich = x.join(y, ["hub", "token"]).filter(F.expr("c_x != c_y") & alike & ((within + left) * both >= need("whole_x", "whole_y"))).select(F.col("id_x").alias("x"), F.col("id_y").alias("y"))
     return _pairs(bare.unionByName(rich), "x", "y").distinct()
 
 
@@ -298,11 +313,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, k: int = K,
 
     # 3: members of longer lists that their hub doesn't reach, against the hub's other members. Likeness being a metric,
     # two that link are both near to the hub or both far from it (the bounds overlap by more than the estimates' errors).
-    # Near ones: full sets relative to the hub's tell which can link at all. Far ones: pairs of a list.
+    # Near ones: full sets relative to the hub's tell which can link at all. Far ones: pairs of a list, unless both are
+    # near as well.
     members = open_.filter("id != hub").select("hub", "id", "c", (F.col("c") != F.col("hc")).alias("loose")).distinct()
     members = cut(_estimated(members.select(F.col("hub").alias("a"), F.col("id").alias("b")), sets, k, 0).withColumnsRenamed({"a": "hub", "b": "id"}).join(members, ["hub", "id"]), "members")
     relative = cut(_relative(members.filter(F.col("e") >= NEAR), texts, n).join(members.drop("e"), ["hub", "id"]), "relative")
-    far = open_.join(members.filter((F.col("e") < FAR) & F.col("loose")).select("hub", "id"), ["hub", "id"]).select("value", "id", "c", "whole", "weight")
+    far = open_.join(members.filter((F.col("e") < FAR) & F.col("loose")).select("hub", "id", (F.col("e") < NEAR).alias("alone")), ["hub", "id"]).select("value", "id", "c", "whole", "weight", "alone")
     pairs = _possible(relative, percent).unionByName(_met(far, k, likeness)).distinct()
     links, last = _more(links, pairs, sets, texts, n, percent, k, high)
     drop_cut(open_, last, relative, members, texts, sets)

@@ -135,6 +135,17 @@ def test_minhash_in_a_large_family_of_near_but_unlinked_texts(spark):
     assert got == {i: (int(w), int(size[i])) for i, w in enumerate(want)} and 30 < len(set(want.tolist())) < 300
 
 
+def test_minhash_pairs_of_a_family_do_not_grow_with_its_square(spark, monkeypatch):
+    rng, base, tried = np.random.default_rng(9), sentence(800, 90).split(), []
+    texts = [" ".join(base)] + [" ".join(np.delete(base, rng.choice(90, 8, replace=False))) for _ in range(150)]
+    estimated = minhash._estimated
+    monkeypatch.setattr(minhash, "_estimated", lambda pairs, *a: tried.append(pairs.count()) or estimated(pairs, *a))
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame(spark, texts), 2, 80).collect()}
+    want, _ = _linked(texts)
+    assert got == dict(enumerate(want.tolist())) and len(set(got.values())) > 50
+    assert tried[-1] < 5 * len(texts)  # all pairs are 11,325
+
+
 def _shuffle_blocks(spark):
     blocks = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllBlocks()
     return {str(blocks.apply(i)) for i in range(blocks.size()) if str(blocks.apply(i)).startswith("shuffle_")}
