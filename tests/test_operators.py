@@ -427,3 +427,10 @@ def test_ward_takes_more_holes_than_a_matrix_of_pairs_would_allow(spark):
     out = clusters.ward(spark.createDataFrame([(i, [float(a), float(b)]) for i, (a, b) in enumerate(x)], "hole_id long, v array<double>"), 4)
     names = {c: n for n, c in enumerate(dict.fromkeys(middles.tolist()))}
     assert [r["agglomerative_cluster"] for r in out.orderBy("hole_id").collect()] == [names[c] for c in middles.tolist()]
+
+
+def test_points_are_read_once_and_let_go(spark):
+    from greenwake.plans import queries as q
+
+    for df in (q._features(spark, "/root/testdata/sf0.001"), q._meta(spark, "/root/testdata/sf0.001"), q.rank_topn(spark, "/root/testdata/sf0.001")):
+        assert df.count() and not [f for f in df.inputFiles() if "lineitem" in f]
