@@ -434,3 +434,31 @@ def test_points_are_read_once_and_let_go(spark):
 
     for df in (q._features(spark, "/root/testdata/sf0.001"), q._meta(spark, "/root/testdata/sf0.001"), q.rank_topn(spark, "/root/testdata/sf0.001")):
         assert df.count() and not [f for f in df.inputFiles() if "lineitem" in f]
+
+
+def test_packed_features_equal_the_aggregates(spark):
+    rng = np.random.default_rng(3)
+    labels = [*features.LABEL_IDS, "rough", "other", None]
+    rows = []
+    for hole in range(30):
+        for _ in range(int(rng.integers(1, 400))):
+            x, y, z = (None if rng.random() < 0.03 else float(v) for v in (np.round(rng.normal(0, 30), rng.integers(0, 10)), rng.uniform(-20, 420), np.round(rng.normal(), 9)))
+            rows.append((f"h{hole}", x, float("nan") if rng.random() < 0.01 else y, z, labels[min(int(rng.integers(0, 14 if hole % 3 else 60)), 13) if hole % 3 else (3 if rng.random() < 0.7 else 1)]))
+    rows += [("null", None, None, None, None), ("far", 1e9 + 0.123456789, 5e6 + 0.5e-8, 123456.000000015, "green"), ("far", 1e9, 5e6, -0.000000005, "green"), ("far", 1.0, 6e6, 0.000000025, "green"), (None, 1.0, 2.0, 3.0, "green")]
+    p = spark.createDataFrame(rows, "hole_id string, x double, y double, z double, label string").repartition(5)
+    clean = features.clean_points(p)
+    both = features.with_green(clean)
+    wanted = both.groupBy("hole_id", "green_y_m").agg(*features.geometry(), *features.elevation(), *features.labels(), *features.zones(), *features.pressure(), *features.shape())
+    wanted = {r["hole_id"]: r for r in wanted.join(features.dogleg(both), "hole_id", "left").collect()}
+    seen = features.hole_features(p).collect()
+    assert sorted(r["hole_id"] for r in seen) == sorted(wanted) and len(seen) == 32
+    for r in seen:
+        one = wanted[r["hole_id"]].asDict()
+        assert set(one) == set(r.asDict()) - {"tee_to_green_elevation_change"}
+        for c, v in one.items():
+            if c == "z_std" and v is not None:
+                assert abs(r[c] - v) <= 1e-9 * max(1, abs(v))
+            else:
+                assert r[c] == v, (r["hole_id"], c)
+    plan = features.hole_features(p)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "percentile" not in plan  # a point meets its hole once, packed
