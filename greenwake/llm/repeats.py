@@ -24,13 +24,15 @@ from pyspark.sql import functions as F
 
 from greenwake.llm.names import unused
 from greenwake.llm.runindex import RunLengthIndex
-from greenwake.llm.textbytes import mix, utf8
+from greenwake.llm.textbytes import mix, release, slices, utf8
 from greenwake.session import cut, drop_cut, partitions, ship
 
 SPAN = 50
 ANCHOR = 24
 #: Windows whose minimisers are found at once.
 CHUNK = 1 << 16
+#: Bytes of texts, and of compressed texts, that a task looks at together.
+BATCH, PACKED_BATCH = 4 << 20, 2 << 20
 #: The bits of a context's hash that tell it from others of its anchor.
 _NAME = np.uint64(0xFFFFFFFFFFFF)
 #: The bits of an anchor's hash that tell it from others; the top ones choose where anchors are compared.
@@ -225,7 +227,7 @@ def spans(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: s
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= span))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for turn, batch in enumerate(batches):
+        for turn, batch in enumerate(slices(batches, 2, BATCH)):
             ids, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             doc, _, _, anchor, whole = contexts(*utf8(batch.column(2)), span)
             if not len(doc):
@@ -250,6 +252,7 @@ def spans(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: s
             yield _rows(pairs)
 
     def shared_anchors(group: pd.DataFrame) -> pd.DataFrame:
+        release()
         seen, doc, anchor, whole = _Documents(), [], [], []
         out = []
         for blob in group["blob"]:
@@ -282,7 +285,7 @@ def spans(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: s
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor().decompress
-        for turn, batch in enumerate(batches):
+        for turn, batch in enumerate(slices(batches, 2, PACKED_BATCH)):
             if not batch.num_rows:
                 continue
             ids, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -316,6 +319,7 @@ def spans(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: s
             yield _rows(pairs)
 
     def matched(group: pd.DataFrame) -> pd.DataFrame:
+        release()
         out, seen = [], _Documents()
         number: dict[tuple[int, bytes], int] = {}
         of_anchor: dict[int, list[int]] = {}
@@ -394,7 +398,7 @@ def _squeezed(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
+        for batch in slices(batches, 2, BATCH):
             packed = [None if t is None else squeeze(t.encode()) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["doc_id", "text_hash", "packed"])
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,6 +36,28 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw, ends - ends[0]
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut to rows of about `limit` bytes in a column together, or to one row, so that a task's memory goes by
+    the limit, not by the rows of a batch. What earlier tasks left free in this worker goes back to the system."""
+    release()
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = (np.cumsum(size) - size) // limit
+        heads = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
+        for i, lo in enumerate(heads):
+            yield batch.slice(int(lo), int((heads[i + 1] if i + 1 < len(heads) else len(part)) - lo))
+    release()
+
+
+def release() -> None:
+    """Gives freed memory back to the system, as far as its library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A full-avalanche finaliser for 64-bit values."""
     h = h ^ (h >> np.uint64(30))

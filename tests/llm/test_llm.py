@@ -469,3 +469,15 @@ def test_registered_queries():
 
     assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 11)]
     assert F is not None
+
+
+def test_batches_are_cut_by_bytes_and_lose_no_row():
+    import pyarrow as pa
+
+    from greenwake.llm.textbytes import slices
+
+    texts = ["a" * 30, None, "", "b" * 90, "c" * 20, "d" * 5]
+    batches = [pa.RecordBatch.from_pydict({"i": list(range(6)), "t": texts}), pa.RecordBatch.from_pydict({"i": pa.array([], pa.int64()), "t": pa.array([], pa.string())})]
+    out = list(slices(iter(batches), 1, 50))
+    assert [x for b in out for x in b.column(1).to_pylist()] == texts and [b.num_rows for b in out] == [4, 2]
+    assert max(len(b) for b in slices(iter(batches), 1, 1 << 20)) == 6
