@@ -4,8 +4,8 @@ Every `span`-byte string of a document is assigned to its minimiser, the ANCHOR-
 of strings with one minimiser and the bytes they cover are a context. Equal strings have equal minimisers, so a match
 can only lie between contexts of one anchor. Hashes alone are moved first: anchors that one document alone holds are
 dropped, and of equal contexts one stays, that of the smallest id, as the others repeat it whole. The distinct contexts
-of anchors that have several meet in shards by anchor; each shard builds a run-length index over them and streams every
-context's matching statistics through it. Copies of a context within a batch of documents become one before they are
+of anchors that have several meet in shards by anchor; each shard builds run-length indexes over them, each of whole anchors and
+of bounded text, and streams every context's matching statistics through its own. Copies of a context within a batch of documents become one before they are
 shuffled, so no shard gathers a passage from all documents.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from greenwake.llm.names import unused
 from greenwake.llm.runindex import RunLengthIndex
 from greenwake.llm.textbytes import mix, release, slices, utf8
-from greenwake.session import cut, drop_cut, partitions, ship
+from greenwake.session import cut, drop_cut, partitions, ship, small_batches
 
 SPAN = 50
 ANCHOR = 24
@@ -33,6 +33,8 @@ ANCHOR = 24
 CHUNK = 1 << 16
 #: Bytes of texts, and of compressed texts, that a task looks at together.
 BATCH, PACKED_BATCH = 4 << 20, 2 << 20
+#: Bytes of texts of an index, unless one anchor has more, and contexts that are sorted together.
+INDEX, SORTED = 1 << 19, 1 << 17
 #: The bits of a context's hash that tell it from others of its anchor.
 _NAME = np.uint64(0xFFFFFFFFFFFF)
 #: The bits of an anchor's hash that tell it from others; the top ones choose where anchors are compared.
@@ -154,8 +156,31 @@ def _rows(pairs: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([k for k, _ in pairs], pa.int32()), pa.array([b for _, b in pairs], pa.binary())], names=["key", "blob"])
 
 
-def _frame(pairs: list[tuple[int, bytes]]) -> pd.DataFrame:
-    return pd.DataFrame({"key": pd.Series([k for k, _ in pairs], dtype="int32"), "blob": [b for _, b in pairs]})
+def _table(pairs: list[tuple[int, bytes]]) -> pa.Table:
+    return pa.Table.from_batches([_rows(pairs)])
+
+
+def _blobs(group: pa.Table) -> Iterator[tuple]:
+    """A group's blobs, opened one at a time."""
+    for blob in group["blob"]:
+        yield _unpack(blob.as_buffer())
+
+
+def _indexed(of_anchor: dict[int, list[int]], size: np.ndarray) -> Iterator[np.ndarray]:
+    """Numbers of the texts that share their anchor with others, as many whole anchors together as INDEX bytes hold."""
+    own: list[int] = []
+    held = 0
+    for texts in of_anchor.values():
+        if len(texts) < 2:
+            continue
+        n = int(size[texts].sum())
+        if own and held + n > INDEX:
+            yield np.sort(np.array(own, dtype=np.int64))
+            own, held = [], 0
+        own += texts
+        held += n
+    if own:
+        yield np.sort(np.array(own, dtype=np.int64))
 
 
 def _place(ids: np.ndarray, n: int) -> np.ndarray:
@@ -200,11 +225,10 @@ def _joined(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return d[head], (s[head] - d[head] * (1 << 33)).astype(np.uint32), (top[np.append(head[1:] - 1, len(d) - 1)] - d[head] * (1 << 33)).astype(np.uint32)
 
 
-def _regrouped(blobs: pd.Series) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+def _regrouped(group: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Documents' keys (id, text hash), where each one's entries begin, and the columns of _by_document in that order."""
     seen, doc, columns = _Documents(), [], []
-    for blob in blobs:
-        ids, hashes, back, *rest = _unpack(blob)
+    for ids, hashes, back, *rest in _blobs(group):
         doc.append(back.astype(np.int64) + seen.add(ids, hashes))
         columns.append(rest)
     keys, number = np.unique(np.stack(seen.all(), axis=1), axis=0, return_inverse=True)
@@ -251,37 +275,43 @@ def spans(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: s
                 pairs.append((groups + (int(ids[0]) + turn) % parts, _pack("known", ids, hashes, doc[rows], _names(anchor[rows] & _ANCHOR_NAME, whole[rows]))))
             yield _rows(pairs)
 
-    def shared_anchors(group: pd.DataFrame) -> pd.DataFrame:
+    def shared_anchors(group: pa.Table) -> pa.Table:
         release()
         seen, doc, anchor, whole = _Documents(), [], [], []
         out = []
-        for blob in group["blob"]:
-            part = _unpack(blob)
+        for part in _blobs(group):
             if part[0] == "known":
                 _, ids, hashes, d, name = part
                 out += _by_document(d, ids, hashes, parts, name, np.ones(len(d), np.uint8))
                 continue
             _, ids, hashes, d, a, w = part
-            doc.append(np.cumsum(d.astype(np.int64)) + seen.add(ids, hashes)), anchor.append(_high(a)), whole.append(_high(w))
+            doc.append((np.cumsum(d.astype(np.int64)) + seen.add(ids, hashes)).astype(np.int32)), anchor.append(_high(a)), whole.append(_high(w))
         if doc:
             ids, hashes = seen.all()
             doc, anchor, whole = (np.concatenate(x) for x in (doc, anchor, whole))
-            order = np.lexsort((ids[doc], whole, anchor))
-            doc, anchor, whole = doc[order], anchor[order], whole[order]
-            own = ids[doc]
-            of_anchor, of_context = _heads(anchor), _heads(anchor, whole)
-            size = np.diff(np.append(of_anchor, len(doc)))
-            several = np.add.reduceat(np.isin(np.arange(len(doc)), of_context, assume_unique=True).astype(np.int64), of_anchor) > 1
-            shared = np.repeat(np.minimum.reduceat(own, of_anchor) < np.maximum.reduceat(own, of_anchor), size)
-            late = own > np.repeat(own[of_context], np.diff(np.append(of_context, len(doc))))
-            rows = np.flatnonzero(late | (shared & np.repeat(several, size)))
-            out += _by_document(doc[rows], ids, hashes, parts, _names(anchor[rows], whole[rows]), late[rows].astype(np.uint8))
-        return _frame(out)
-
-    def gathered(group: pd.DataFrame) -> pd.DataFrame:
-        keys, edges, columns = _regrouped(group["blob"])
+            turns, rows, lates = len(doc) // SORTED + 1, [], []
+            for turn in range(turns):  # an anchor's contexts fall into one turn
+                at = np.flatnonzero((anchor >> np.uint64(8)) % np.uint64(turns) == turn)
+                if not len(at):
+                    continue
+                at = at[np.lexsort((ids[doc[at]], whole[at], anchor[at]))]
+                own = ids[doc[at]]
+                of_anchor, of_context = _heads(anchor[at]), _heads(anchor[at], whole[at])
+                size = np.diff(np.append(of_anchor, len(at)))
+                several = np.add.reduceat(np.isin(np.arange(len(at)), of_context, assume_unique=True).astype(np.int64), of_anchor) > 1
+                shared = np.repeat(np.minimum.reduceat(own, of_anchor) < np.maximum.reduceat(own, of_anchor), size)
+                late = own > np.repeat(own[of_context], np.diff(np.append(of_context, len(at))))
+                found = late | (shared & np.repeat(several, size))
+                rows.append(at[found]), lates.append(late[found].astype(np.uint8))
+            rows, late = np.concatenate([np.zeros(0, np.int64), *rows]), np.concatenate([np.zeros(0, np.uint8), *lates])
+            out += _by_document(doc[rows], ids, hashes, parts, _names(anchor[rows], whole[rows]), late)
+        return _table(out)
+
+    def gathered(group: pa.Table) -> pa.Table:
+        release()
+        keys, edges, columns = _regrouped(group)
         places = [_pack(*(c[lo:hi] for c in columns)) for lo, hi in zip(edges, edges[1:], strict=False)]
-        return pd.DataFrame({"doc_id": keys[:, 0], "text_hash": keys[:, 1], "places": places})
+        return pa.table([keys[:, 0], keys[:, 1], pa.array(places, pa.binary())], names=["doc_id", "text_hash", "places"])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor().decompress
@@ -318,15 +348,14 @@ def spans(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: s
                 pairs.append((groups + (int(ids[0]) + turn) % parts, _pack("known", ids, hashes, d, s, e)))
             yield _rows(pairs)
 
-    def matched(group: pd.DataFrame) -> pd.DataFrame:
+    def matched(group: pa.Table) -> pa.Table:
         release()
         out, seen = [], _Documents()
         number: dict[tuple[int, bytes], int] = {}
         of_anchor: dict[int, list[int]] = {}
         texts: list[bytes] = []
         where: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for blob in group["blob"]:
-            part = _unpack(blob)
+        for part in _blobs(group):
             if part[0] == "known":
                 _, ids, hashes, d, s, e = part
                 out += _by_document(d, ids, hashes, parts, s, e)
@@ -352,12 +381,14 @@ def spans(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: s
             size = np.fromiter(map(len, texts), np.int64, len(texts))
             late = ids[doc] > owner[text]
             d, s, e = [doc[late]], [start[late]], [start[late] + size[text[late]]]
-            some = np.sort(np.array([t for own in of_anchor.values() if len(own) > 1 for t in own], dtype=np.int64))
-            if len(some):
-                index = RunLengthIndex([texts[t] for t in some], owner[some], span)
-                hit, place = index.statistics()
+            hits, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for some in _indexed(of_anchor, size):
+                hit, place = RunLengthIndex([texts[t] for t in some], owner[some], span).statistics()
+                hits.append(some[hit]), places.append(place)
+            hit, place = np.concatenate(hits), np.concatenate(places)
+            if len(hit):
                 order = np.lexsort((place, hit))
-                hit, place = some[hit[order]], place[order]
+                hit, place = hit[order], place[order]
                 first = np.searchsorted(hit, np.arange(len(texts) + 1))
                 early = np.flatnonzero(~late & (np.diff(first)[text] > 0))
                 n = np.diff(first)[text[early]]
@@ -369,10 +400,11 @@ def spans(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: s
             order = np.lexsort((s, d))
             d, s, e = _joined(d[order], s[order], e[order])
             out += _by_document(d, ids, hashes, parts, s, e)
-        return _frame(out)
+        return _table(out)
 
-    def merged(group: pd.DataFrame) -> pd.DataFrame:
-        keys, edges, columns = _regrouped(group["blob"])
+    def merged(group: pa.Table) -> pa.Table:
+        release()
+        keys, edges, columns = _regrouped(group)
         starts, ends = [], []
         for lo, hi in zip(edges, edges[1:], strict=False):
             s, e = (c[lo:hi].astype(np.int64) for c in columns)
@@ -381,14 +413,16 @@ def spans(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: s
             head = np.flatnonzero(np.concatenate([[True], s[1:] > e[:-1]]))
             starts.append(s[head].astype("<u4").tobytes())
             ends.append(e[np.append(head[1:] - 1, len(e) - 1)].astype("<u4").tobytes())
-        return pd.DataFrame({"doc_id": keys[:, 0], "text_hash": keys[:, 1], "starts": starts, "ends": ends})
+        return pa.table([keys[:, 0], keys[:, 1], pa.array(starts, pa.binary()), pa.array(ends, pa.binary())], names=["doc_id", "text_hash", "starts", "ends"])
 
     pair = "key int, blob binary"
     # what was shuffled for the places is gone before texts and contexts are shuffled
-    places = cut(slim.mapInArrow(anchors, pair).groupBy("key").applyInPandas(shared_anchors, pair).groupBy("key").applyInPandas(gathered, "doc_id long, text_hash long, places binary"), "places")
+    with small_batches(spark):
+        places = cut(slim.mapInArrow(anchors, pair).groupBy("key").applyInArrow(shared_anchors, pair).groupBy("key").applyInArrow(gathered, "doc_id long, text_hash long, places binary"), "places")
     asked = _squeezed(slim).join(places, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "packed", "places")
-    found = asked.mapInArrow(extract, pair).groupBy("key").applyInPandas(matched, pair).groupBy("key").applyInPandas(merged, "doc_id long, text_hash long, starts binary, ends binary")
-    out = cut(found, "repeats")
+    found = asked.mapInArrow(extract, pair).groupBy("key").applyInArrow(matched, pair).groupBy("key").applyInArrow(merged, "doc_id long, text_hash long, starts binary, ends binary")
+    with small_batches(spark):
+        out = cut(found, "repeats")
     drop_cut(places)
     return out
 
@@ -422,7 +456,7 @@ def digests(docs: DataFrame, span: int = SPAN) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        for batch in slices(batches, 1, PACKED_BATCH):
             size, gone, runs, name = [], [], [], []
             for packed, s, e in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 raw = open_(packed)

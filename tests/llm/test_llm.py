@@ -151,6 +151,18 @@ def _shuffle_blocks(spark):
     return {str(blocks.apply(i)) for i in range(blocks.size()) if str(blocks.apply(i)).startswith("shuffle_")}
 
 
+def test_indexes_are_bounded_and_hold_whole_anchors():
+    rng = np.random.default_rng(5)
+    size = rng.integers(50, 77, 60_000)
+    owner = np.sort(rng.integers(0, 9_000, len(size)))
+    of_anchor = {a: np.flatnonzero(owner == a).tolist() for a in np.unique(owner).tolist()}
+    parts = list(repeats._indexed(of_anchor, size))
+    assert sorted(np.concatenate(parts).tolist()) == sorted(t for own in of_anchor.values() if len(own) > 1 for t in own)
+    assert all(int(size[p].sum()) <= repeats.INDEX for p in parts) and len(parts) > 5
+    assert sum(len(np.unique(owner[p])) for p in parts) == len(np.unique(owner[np.concatenate(parts)]))
+    assert [p.tolist() for p in repeats._indexed({1: [0, 1], 2: [2], 3: [3, 4]}, np.array([repeats.INDEX, 60, 60, 60, 60]))] == [[0, 1], [3, 4]]
+
+
 def test_repeats_let_go_of_their_shuffles(spark, docs):
     before = _shuffle_blocks(spark)
     found = repeats.spans(docs)
