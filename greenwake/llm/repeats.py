@@ -16,8 +16,8 @@ import pickle
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -476,9 +476,11 @@ def without_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """
     found = spans(docs, span)
 
-    @F.pandas_udf("string")
-    def kept(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
-        return pd.Series([t if not s else _kept(t.encode(), s, e)[0].decode("utf-8", "ignore") for t, s, e in zip(text, starts, ends, strict=True)], dtype=object)
+    @F.arrow_udf("string")
+    def kept(text: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+        some = pc.fill_null(pc.greater(pc.binary_length(starts), 0), False)
+        new = [_kept(t.as_buffer().to_pybytes(), s.as_py(), e.as_py())[0].decode("utf-8", "ignore") for t, s, e in zip(text.filter(some), starts.filter(some), ends.filter(some), strict=True)]
+        return pc.replace_with_mask(text, some, pa.array(new, text.type))
 
     id_, found_hash, starts, ends, text_hash = unused(docs, "id", "found_hash", "starts", "ends", "text_hash")
     found = found.toDF(id_, found_hash, starts, ends)

@@ -163,6 +163,14 @@ def test_indexes_are_bounded_and_hold_whole_anchors():
     assert [p.tolist() for p in repeats._indexed({1: [0, 1], 2: [2], 3: [3, 4]}, np.array([repeats.INDEX, 60, 60, 60, 60]))] == [[0, 1], [3, 4]]
 
 
+def test_repeats_leave_nulls_and_cut_characters(spark):
+    once = "ab" + "\u00e9" * 40 + " " + sentence(8, 20)
+    rows = frame(spark, [once, None, "", "\u00e9" * 3 + once[5:], sentence(9, 30)])
+    got = {r["doc_id"]: r["text"] for r in repeats.without_repeats(rows).collect()}
+    assert got[0] == once and got[1] is None and got[2] == "" and got[4] == sentence(9, 30) and len(got[3]) < 10
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") != "4m"
+
+
 def test_repeats_let_go_of_their_shuffles(spark, docs):
     before = _shuffle_blocks(spark)
     found = repeats.spans(docs)
