@@ -3,6 +3,7 @@ import json
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -462,3 +463,57 @@ def test_packed_features_equal_the_aggregates(spark):
                 assert r[c] == v, (r["hole_id"], c)
     plan = features.hole_features(p)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "percentile" not in plan  # a point meets its hole once, packed
+
+
+@pytest.mark.parametrize("budgets", [BASELINE.budgets, {"tee": 1, "green": 3, "water": 0}])
+def test_picked_points_equal_the_budgeted_ones(spark, budgets):
+    config = dataclasses.replace(BASELINE, budgets=budgets)
+    rng, rows = np.random.default_rng(11), []
+    for hole in range(12):
+        for _ in range(int(rng.integers(1, 90))):
+            x, y, z = (None if rng.random() < 0.05 else float("nan") if rng.random() < 0.05 else float(np.round(v, 0)) for v in rng.normal(0, 3, 3))
+            rows.append((f"h{hole}", str(rng.choice([*BASELINE.surfaces, "trees"])), x, y, z))
+    p = spark.createDataFrame([*rows, (None, "tee", 1.0, 2.0, 3.0)], "hole_id string, surface string, x_lateral_m double, y_down_hole_m double, z_relative_m double").repartition(3)
+    told = lambda df: {r["hole_id"]: {s: None if r[f"p_{s}"] is None else [None if v is None or np.isnan(v) else v for v in r[f"p_{s}"]] for s in config.surfaces} for r in df.collect()}
+    want = told(cloud._sets(cloud.budgeted(p, config), config.scale, config.surfaces).filter("hole_id is not null"))
+    got = told(cloud.picked(p, config))
+    assert got.pop("h0") == want.pop("h0") and got == {k: v for k, v in want.items() if k in got}
+    assert all(v == dict.fromkeys(config.surfaces) for k, v in want.items() if k not in got)
+    assert "Window" not in cloud.picked(p, config)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_bounds_spare_most_pairs_and_no_match(monkeypatch):
+    rng, n = np.random.default_rng(4), 500
+    scale = {"fairway": (50, 500, 20), "green": (50, 10, 20), "bunker": (50, 500, 20), "water": (50, 500, 20), "tee": (50, 500, 20)}
+
+    def cloud_of(i, s):
+        if s in ("bunker", "water") and i % 9 == 4 or s == "tee" and i % 50 == 7:
+            return None
+        p = rng.uniform(0, 1, (BASELINE.budgets[s] - i % 2, 3)) * scale[s]
+        if i % 100 == 33:
+            p[0, 0] = (np.nan, np.inf)[i // 100 % 2]
+        if i == 3:
+            p[:, 1] += 1e7
+        return p.ravel().tolist()
+
+    yards = rng.uniform(300, 380, n)
+    yards[5] = np.nan
+    columns = {
+        "hole_id": np.arange(n), "course_slug": [f"c{i % 7}" for i in range(n)], "par": pa.array([None if i % 60 == 1 else 4.0 + (i % 4 == 0) for i in range(n)], pa.float64()),
+        "yards": pa.array([None if np.isnan(y) else y for y in yards], pa.float64()), "whole": np.arange(n) % 31 != 2, "windowed": np.ones(n, bool), "allowed": np.full(n, 40.0), "delta": rng.uniform(-5, 5, n),
+        **{f"p_{s}": pa.array([cloud_of(i, s) for i in range(n)], pa.list_(pa.float64())) for s in BASELINE.surfaces},
+    }
+    field, judged, chamfers = pa.table(columns), [0], cloud._Cloud.chamfers
+
+    def counted(self, a, at, block=512):
+        judged[0] += len(at)
+        return chamfers(self, a, at, block)
+
+    monkeypatch.setattr(cloud._Cloud, "chamfers", counted)
+    found = pa.Table.from_batches(list(cloud._best(BASELINE, 5, False, True)(field, field))).to_pandas()
+    spared = judged[0]
+    monkeypatch.setattr(cloud._Bounds, "of", lambda self, rows, cols: np.full((len(rows), len(cols)), -1e9, dtype=np.float32))
+    plain = pa.Table.from_batches(list(cloud._best(BASELINE, 5, False, True)(field, field))).to_pandas()
+    keys = ["target_hole_id", "candidate_hole_id"]
+    assert found.sort_values(keys).reset_index(drop=True).equals(plain.sort_values(keys).reset_index(drop=True))
+    assert spared < 0.55 * (judged[0] - spared) and len(found) > 4 * n
