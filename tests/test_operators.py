@@ -517,3 +517,11 @@ def test_bounds_spare_most_pairs_and_no_match(monkeypatch):
     keys = ["target_hole_id", "candidate_hole_id"]
     assert found.sort_values(keys).reset_index(drop=True).equals(plain.sort_values(keys).reset_index(drop=True))
     assert spared < 0.55 * (judged[0] - spared) and len(found) > 4 * n
+
+
+def test_two_configurations_are_ranked_once(spark):
+    from greenwake.plans import queries as q
+
+    for name in ("config_overlap", "rank_comparison", "shared_all_configs"):
+        plan = q.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "FlatMapGroups" not in plan and "lineitem" not in plan
